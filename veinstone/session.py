@@ -30,6 +30,7 @@ def get_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g")
         .appName("veinstone")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
     for key, value in SETTINGS.items():
