@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinstone.llm import collapse, names
-from veinstone.session import once, prepare, table
+from veinstone.llm import collapse, encode, names, pack, split
+from veinstone.session import once, prepare, stored, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,5 +42,43 @@ def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes
 
 
-QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_classes": p3_classes}
+def _cut_reports(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
+    prepare(spark)
+    reports = once(table(spark, sf_dir, "reports", "report_id", "report_text").where("report_text is not null"), "report_id")
+    return split.split_texts(reports, "report_id", "report_text", 3000, 1000, with_text)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every report cut into more than one piece, forced if any of its cuts found no boundary."""
+    cuts = _cut_reports(spark, sf_dir, False).where("cut <> 'end'")
+    forced = F.max(F.when(F.col("cut") == "forced", "forced").otherwise("boundary"))
+    return cuts.groupBy("report_id").agg(forced.alias("cut"))
+
+
+def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all reports with their texts."""
+    return _cut_reports(spark, sf_dir, True)
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    prepare(spark)
+    return encode.encode_texts(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def p9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's containers of 2,048 tokens."""
+    prepare(spark)
+    sizes = stored(encode.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text")), "sizes")
+    return pack.pack(sizes, "doc_id", "tokens", 2048)
+
+
+def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are, against the least number that could hold the tokens."""
+    by = p9_pack(spark, sf_dir).where("container is not null").groupBy("container").agg(F.sum("size").alias("used"), F.count(F.lit(1)).alias("pieces"))
+    least = F.ceil(F.sum("used") / 2048).alias("least_containers")
+    return by.agg(F.count(F.lit(1)).alias("containers"), least, F.sum("used").alias("tokens"), F.max("used").alias("fullest"), F.sum("pieces").alias("pieces"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_classes": p3_classes, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p9_pack": p9_pack, "p9_fill": p9_fill}
 ORACLES: dict[str, str] = {}
