@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinstone.llm import collapse, encode, names, pack, split
+from veinstone.llm import collapse, encode, names, pack, pairs, split
 from veinstone.session import once, prepare, stored, table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every defective pair of request and response with its defect."""
+    prepare(spark)
+    requests = table(spark, sf_dir, "batch_requests", "custom_id", "body")
+    return pairs.broken_pairs(requests, table(spark, sf_dir, "batch_responses", "response_id", "custom_id", "response"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of mentions that stand for one person or organisation."""
     prepare(spark)
@@ -80,5 +87,5 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.agg(F.count(F.lit(1)).alias("containers"), least, F.sum("used").alias("tokens"), F.max("used").alias("fullest"), F.sum("pieces").alias("pieces"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_classes": p3_classes, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p9_pack": p9_pack, "p9_fill": p9_fill}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_classes": p3_classes, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p9_pack": p9_pack, "p9_fill": p9_fill}
 ORACLES: dict[str, str] = {}
