@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinstone.llm import collapse, encode, names, pack, pairs, split
+from veinstone.llm import collapse, encode, names, pack, pairs, residue, split
 from veinstone.session import once, prepare, stored, table
 
 
@@ -87,5 +87,17 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.agg(F.count(F.lit(1)).alias("containers"), least, F.sum("used").alias("tokens"), F.max("used").alias("fullest"), F.sum("pieces").alias("pieces"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_classes": p3_classes, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p9_pack": p9_pack, "p9_fill": p9_fill}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are residue, with its kind."""
+    prepare(spark)
+    return residue.template_residue(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
+def p10_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus without residue."""
+    found = p10_found(spark, sf_dir)
+    return table(spark, sf_dir, "documents").join(found, "doc_id", "left_anti")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_classes": p3_classes, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p9_pack": p9_pack, "p9_fill": p9_fill, "p10_found": p10_found, "p10_kept": p10_kept}
 ORACLES: dict[str, str] = {}
