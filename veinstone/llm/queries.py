@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinstone.llm import collapse, encode, names, pack, pairs, residue, split
-from veinstone.session import once, prepare, stored, table
+from veinstone.llm import collapse, encode, names, pack, pairs, residue, scans, split
+from veinstone.session import checked_broadcast, once, prepare, stored, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +49,23 @@ def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes
 
 
+def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    reports = once(table(spark, sf_dir, "reports", "report_id", "report_text", "report_name", "feed_code").where("report_text is not null"), "report_id")
+    return reports.join(checked_broadcast(table(spark, sf_dir, "feeds", "feed_code", "feed_title").dropDuplicates(["feed_code"])), "feed_code", "left")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noise of scanned pages by line."""
+    noise = scans.scan_noise(_reports(spark, sf_dir))
+    return noise.select(F.col("key").alias("report_id"), (F.col("line") + 1).cast("bigint").alias("line_no"), "noise", "word").distinct()
+
+
+def p5_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All report texts, the scanned ones as continuous paragraphs."""
+    return scans.repair_scans(_reports(spark, sf_dir))
+
+
 def _cut_reports(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
     prepare(spark)
     reports = once(table(spark, sf_dir, "reports", "report_id", "report_text").where("report_text is not null"), "report_id")
@@ -99,5 +116,5 @@ def p10_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").join(found, "doc_id", "left_anti")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_classes": p3_classes, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p9_pack": p9_pack, "p9_fill": p9_fill, "p10_found": p10_found, "p10_kept": p10_kept}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_classes": p3_classes, "p5_found": p5_found, "p5_text": p5_text, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p9_pack": p9_pack, "p9_fill": p9_fill, "p10_found": p10_found, "p10_kept": p10_kept}
 ORACLES: dict[str, str] = {}
