@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veinstone.plans import core_problems
+from veinstone.plans import core_problems, graph_queries, text_queries
 
-_MODULES = (core_problems,)
+_MODULES = (core_problems, graph_queries, text_queries)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["p4_found"](spark, sf_dir)
+    return QUERIES["constraint_violations"](spark, sf_dir)
