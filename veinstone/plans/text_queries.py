@@ -150,7 +150,7 @@ def html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.array_join(F.transform(F.split("text", "\n"), lambda p: F.concat(F.lit("<p> "), escaped(p), F.lit("</p>\n"))), "")
     title = F.when(F.col("title").isNotNull(), F.concat(F.lit("<title>"), escaped(F.col("title")), F.lit("</title>"))).otherwise("")
     page = F.concat(F.lit("<html><head>"), title, F.lit("<style>p {color: red}</style><script>if (a < b) {c()}</script></head><body>"), body, F.lit("</body></html>"))
-    return rows.select("doc_id", html.page(page).alias("p")).select("doc_id", F.col("p.title").alias("title"), F.md5(F.regexp_replace("p.content", r"\s+", "")).alias("content_md5"))
+    return rows.select("doc_id", html.page(page).alias("p")).select("doc_id", F.col("p.title").alias("title"), F.md5(F.regexp_replace("p.content", "[\\s\u00a0]+", "")).alias("content_md5"))
 
 
 def ioc_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,7 +335,7 @@ ORACLES = {
     "integrity_check": "SELECT title IS NOT NULL AS ok, count(*) AS documents FROM documents WHERE text IS NOT NULL GROUP BY ALL",
     "chunk_fixed_window": """WITH d AS (SELECT doc_id, text, greatest(1, CAST(ceil((length(text) - 1000) / 2000.0) AS BIGINT)) AS n FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, text, unnest(range(n)) AS chunk_no FROM d)
   SELECT doc_id, chunk_no, CAST(length(substr(text, chunk_no * 2000 + 1, 3000)) AS BIGINT) AS size, md5(substr(text, chunk_no * 2000 + 1, 3000)) AS content_md5 FROM c""",
-    "html_content": "SELECT doc_id, coalesce(title, '') AS title, md5(regexp_replace(coalesce(title, '') || text, '\\s+', '', 'g')) AS content_md5 FROM documents WHERE text IS NOT NULL",
+    "html_content": "SELECT doc_id, coalesce(title, '') AS title, md5(regexp_replace(coalesce(title, '') || text, '[\\s' || chr(160) || ']+', '', 'g')) AS content_md5 FROM documents WHERE text IS NOT NULL",
     "ioc_extract": f"SELECT kind, count(*) AS found, count(DISTINCT value) AS values FROM ({_IOC}) GROUP BY kind",
     "kv_line_parse": f"WITH {_LINES}, p AS (SELECT regexp_extract(value, '^\\s*([a-z]+)\\.([A-Za-z_]+):\\s*''(.*)''\\s*$', ['ns', 'key', 'item']) AS r FROM l) SELECT r.ns AS ns, r.key AS key, count(*) AS lines, count(DISTINCT nullif(r.item, '')) AS values FROM p WHERE r.ns <> '' GROUP BY ALL",
     "sensor_log_rollup": f"""WITH {_LINES}, e AS (SELECT value::JSON AS j FROM l WHERE starts_with(value, '{{"time"') AND json_valid(value))
