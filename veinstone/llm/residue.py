@@ -157,7 +157,7 @@ def residue(lines: list[str], boilerplate: list[bool]) -> str | None:
             weights[kind] += weight
             units[kind] += 1
             order.append(kind)
-    if units["placeholder"] and units["placeholder"] >= 2 * units["content"] / 3 and units["placeholder"] * 2 > units["content"]:
+    if units["placeholder"] and units["content"] <= (1.5 * units["placeholder"] if units["placeholder"] > 1 else 0):
         return "placeholder"
     if units["filler"] and weights["filler"] > weights["content"]:
         return "filler"

@@ -207,7 +207,8 @@ def _learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     sums[w] = np.zeros(SIZE)
         if len(counts) > 100_000:
             yield flush()
-    yield flush()
+    if counts:
+        yield flush()
 
 
 def variants(word: str) -> set[str]:
