@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: The sentences of the context block.
 HEADER, NONE, UNKNOWN = "以下是相关文档信息：\n\n", "没有找到相关文档。", "未知来源"
@@ -48,10 +50,7 @@ def frames(conversation: Column, context_: Column, tokens: Column, title: Column
 def answer(prompts: DataFrame, model=None) -> DataFrame:
     """prompts(query_id, prompt) with an answer of `model`, a function from a pandas Series to one, run in batches; without a model a
     deterministic stand-in that returns the last line of the prompt's context."""
-    import pandas as pd
-    from pyspark.sql.types import StringType
-
     def stand_in(texts: pd.Series) -> pd.Series:
         return texts.str.extract(r"(?s)Context:\n(.*?)\n\nQuestion", expand=False).fillna("").str.strip().str.split("\n").str[-1]
 
-    return prompts.withColumn("answer", F.pandas_udf(model or stand_in, StringType())("prompt"))
+    return prompts.withColumn("answer", F.pandas_udf(model or stand_in, StringType(), F.PandasUDFType.SCALAR)("prompt"))

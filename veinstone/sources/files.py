@@ -26,7 +26,7 @@ def _binary(spark: SparkSession, path: str, glob: str) -> DataFrame:
 
 def report_tree(spark: SparkSession, path: str) -> DataFrame:
     """(path, year, name, text) of <path>/<year>/<name>.txt; directories that are no number are left out."""
-    rows = _binary(spark, path, "*.txt").select("path", F.element_at(F.split("path", "/"), -2).alias("year"), ft.stem(F.col("path")).alias("name"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    rows = _binary(spark, path, "*.txt").select("path", F.element_at(F.split("path", "/"), -2).alias("year"), ft.stem(F.col("path")).alias("name"), F.decode("content", "UTF-8").alias("text"))
     return rows.where(F.col("year").rlike("^[0-9]+$")).withColumn("year", F.col("year").cast("int"))
 
 
@@ -68,7 +68,7 @@ def _pdf(contents: pd.Series) -> pd.Series:
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """(source, kind, page_content) of all .txt, .json, .docx and .pdf files below path; a file that can't be read has null content."""
     rows = _binary(spark, path, "*.{txt,json,docx,pdf,TXT,JSON,DOCX,PDF}").select("path", "content", ft.extension(F.col("path")).alias("kind"))
-    content = F.when(F.col("kind").isin(".txt", ".json"), F.decode("content", F.lit("UTF-8"))).when(F.col("kind") == ".docx", _docx("content")).when(F.col("kind") == ".pdf", _pdf("content"))
+    content = F.when(F.col("kind").isin(".txt", ".json"), F.decode("content", "UTF-8")).when(F.col("kind") == ".docx", _docx("content")).when(F.col("kind") == ".pdf", _pdf("content"))
     return rows.select(ft.base_name(F.col("path")).alias("source"), "kind", content.alias("page_content"))
 
 
@@ -92,7 +92,7 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def xml_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, year, name, xml) of all .xml files below path."""
     rows = _binary(spark, path, "*.xml")
-    return rows.select("path", ft.year_of_path(F.col("path")).alias("year"), ft.stem(F.col("path")).alias("name"), F.decode("content", F.lit("UTF-8")).alias("xml"))
+    return rows.select("path", ft.year_of_path(F.col("path")).alias("year"), ft.stem(F.col("path")).alias("name"), F.decode("content", "UTF-8").alias("xml"))
 
 
 def graph_files(spark: SparkSession, path: str) -> DataFrame:
