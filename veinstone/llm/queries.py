@@ -19,7 +19,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of mentions that stand for one person or organisation."""
     prepare(spark)
-    return names.same_pairs(_classed(spark, sf_dir))
+    return names.same_pairs(_classed(spark, sf_dir)).toDF("mention_a", "mention_b")
 
 
 def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,4 +117,8 @@ def p10_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_classes": p3_classes, "p5_found": p5_found, "p5_text": p5_text, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p9_pack": p9_pack, "p9_fill": p9_fill, "p10_found": p10_found, "p10_kept": p10_kept}
-ORACLES: dict[str, str] = {}
+_SPLIT = r"[\s\v\p{Z}\x{85}\x{1c}-\x{1f}。！？；，]"
+ORACLES = {
+    "p6_found": f"""WITH r AS (SELECT DISTINCT ON (report_id) report_id, report_text AS t FROM reports WHERE length(report_text) > 3000)
+  SELECT report_id, CASE WHEN list_max(list_transform(regexp_split_to_array(t, '{_SPLIT}'), lambda x: length(x))) > 3000 THEN 'forced' ELSE 'boundary' END AS cut FROM r""",
+}
