@@ -141,8 +141,15 @@ def _cut_markup(text: str) -> bool:
     return bool(open_tags) or text.count("```") % 2 == 1
 
 
+_WHOLE = re.compile(
+    r"(?i)\d{1,3}(?:\.\d{1,3}){3}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|cve-\d{4}-\d{4,7}|h[tx]{2}ps?://\S+\.\w+(?:/\S*)?|(?:[\w.+-]+@)?(?:[\w-]+\.)+(?:" + "|".join(sorted(LAST_LABELS)) + ")"
+)
+
+
 def _cut_value(value: str, others: list[str]) -> bool:
-    """Whether a bare value breaks off."""
+    """Whether a bare value breaks off; at the end of a list of whole indicators, whatever is none does."""
+    if others and all(_WHOLE.fullmatch(x.rstrip(".,;")) for x in others) and not _WHOLE.fullmatch(value.strip().rstrip(".,;")):
+        return True
     value = value.strip().rstrip(".,;") if not re.fullmatch(r"[\d.]+\.", value.strip()) else value.strip()
     if re.fullmatch(r"[0-9a-f]{7,}", value) and re.search(r"\d", value):
         return len(value) not in _COUNT
@@ -161,7 +168,7 @@ def _cut_value(value: str, others: list[str]) -> bool:
             return True
         if last not in LAST_LABELS and any(label.startswith(last) for label in LAST_LABELS):
             return True
-        sizes = {len(x.rpartition("/")[2]) for x in others if "://" in x}
+        sizes = {len(x.rpartition("/")[2]) for x in others if re.fullmatch(r"\S+://\S+/[0-9a-f]+", x)}
         return bool(scheme and path and sizes and len(path) - 1 < min(sizes) and re.fullmatch(r"/[0-9a-f]*", path))
     return False
 
