@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veinstone.functions import chunk, html
 from veinstone.functions import text as ft
-from veinstone.operators import batches, ingest, rag, vector
+from veinstone.operators import batches, extraction, ingest, rag, vector
 from veinstone.session import checked_broadcast, once, prepare, shared_dir, stored, table
 from veinstone.sources import files
 from veinstone.streaming import pipelines
@@ -195,6 +195,13 @@ def ocr_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(ft.needs_ocr(pages).alias("needs_ocr"), state.alias("state")).groupBy("needs_ocr", "state").agg(F.count(F.lit(1)).alias("reports"))
 
 
+def entity_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities that the stand-in model extracts from all reports, by type and sub type."""
+    rows = extraction.extract(_reports(spark, sf_dir, "report_text"), TEMPLATE, "report_text")
+    found = rows.select("report_id", F.explode("graph.Entities").alias("e"))
+    return found.groupBy(F.col("e.EntityType").alias("entity_type"), F.col("e.EntitySubType").alias("sub_type")).agg(F.count(F.lit(1)).alias("entities"), F.countDistinct("report_id").alias("reports"))
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = _t(spark, sf_dir, "embeddings", "vec_id", "embedding")
     base = rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
@@ -297,7 +304,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         batch_request_jsonl, batch_request_validation, batch_result_parse, run_stats, user_message_parse, chat_history, conversation_title, sse_frames, token_stream_concat, session_get_or_create,
-        manifest_delta, content_addressed_dedup, integrity_check, chunk_fixed_window, chunk_recursive, html_content, ioc_extract, kv_line_parse, sensor_log_rollup, ioc_list_scan, year_stats, ocr_routing,
+        manifest_delta, content_addressed_dedup, integrity_check, chunk_fixed_window, chunk_recursive, html_content, ioc_extract, kv_line_parse, sensor_log_rollup, ioc_list_scan, year_stats, ocr_routing, entity_extraction,
         knn_ip, knn_l2, knn_cosine_threshold, knn_ivf, knn_ivf_recall, mmr, rag_context, retrieval_eval, dict_or_list_normalise, event_windows, event_windows_sliding, event_sessions, ingest_stream,
     )
 }
@@ -314,6 +321,7 @@ _SCORE = "CAST(list_inner_product(q.embedding::DOUBLE[], b.embedding::DOUBLE[])
 _NEAR = "WITH s AS (SELECT q.vec_id AS query_id, b.vec_id AS id, {score} AS score FROM embeddings q, embeddings b WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s {where})"
 _LINES = "l AS (SELECT unnest(string_split(text, chr(10))) AS value FROM documents WHERE text IS NOT NULL)"
 _IOC = " UNION ALL ".join(f"SELECT '{kind}' AS kind, unnest(regexp_extract_all(text, '{pattern}')) AS value FROM documents WHERE text IS NOT NULL" for kind, pattern in ft.INDICATORS.items())
+_FOUND = " UNION ALL ".join(f"SELECT report_id, '{kind}' AS kind, unnest(regexp_extract_all(report_text, '{pattern}')) AS value FROM rpt WHERE report_text IS NOT NULL" for kind, pattern in ft.INDICATORS.items())
 _WINDOW = "SELECT {start} AS start, {start} + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n, round(sum(value), 6) AS total FROM {source} GROUP BY ALL"
 
 ORACLES = {
@@ -345,6 +353,7 @@ ORACLES = {
   count(*) AS reports, CAST(sum(length(report_text)) AS BIGINT) AS characters FROM rpt GROUP BY ALL""",
     "ocr_routing": f"""WITH {_RPT}, p AS (SELECT report_text AS t, [substr(report_text, 1, 400), substr(report_text, 401, 400), substr(report_text, 801, 400)] AS pages FROM rpt)
   SELECT t IS NULL OR len(list_filter(pages, lambda x: length(x) > 100)) = 0 AS needs_ocr, CASE WHEN length(trim(t, ' ')) > 100 THEN 'SUCCESS' ELSE 'WARNING' END AS state, count(*) AS reports FROM p GROUP BY ALL""",
+    "entity_extraction": f"WITH {_RPT}, f AS (SELECT DISTINCT * FROM ({_FOUND})) SELECT CASE WHEN kind = 'cve' THEN 'vul' ELSE 'ioc' END AS entity_type, kind AS sub_type, count(*) AS entities, count(DISTINCT report_id) AS reports FROM f GROUP BY ALL",
     "knn_ip": _NEAR.format(score=_SCORE, where="") + " SELECT query_id, id, round(score, 5) AS score, rank FROM r WHERE rank <= 5",
     "knn_l2": _NEAR.format(score=f"2 * {_SCORE} - list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) - list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])", where="") + " SELECT query_id, id, round(score, 5) + 0.0 AS score, rank FROM r WHERE rank <= 5",
     "knn_cosine_threshold": _NEAR.format(score="list_cosine_similarity(q.embedding::DOUBLE[], b.embedding::DOUBLE[])", where="WHERE score >= 0.3") + " SELECT query_id, id, round(score, 5) AS score, rank FROM r WHERE rank <= 5",
