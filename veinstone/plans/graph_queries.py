@@ -114,14 +114,14 @@ def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def xml_roundtrip_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities written as XML by report and parsed back, with the sizes of their lists."""
-    rows = _round_trip(spark, sf_dir).select("report_id", F.posexplode("g.Entities").alias("pos", "e"))
+    rows = _round_trip(spark, sf_dir).select("report_id", F.posexplode_outer("g.Entities").alias("pos", "e")).where("e is not null")
     size = lambda c: F.coalesce(F.size(f"e.{c}"), F.lit(0)).cast("bigint").alias(c.lower())
     return rows.select("report_id", F.col("pos").cast("bigint").alias("pos"), F.col("e.EntityId").alias("entity_id"), F.col("e.EntityName").alias("entity_name"), F.col("e.EntityType").alias("entity_type"), size("Labels"), size("Times"), size("Properties"))
 
 
 def xml_roundtrip_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations written as XML by report and parsed back."""
-    rows = _round_trip(spark, sf_dir).select("report_id", F.posexplode("g.Relationships").alias("pos", "r"))
+    rows = _round_trip(spark, sf_dir).select("report_id", F.posexplode_outer("g.Relationships").alias("pos", "r")).where("r is not null")
     return rows.select("report_id", F.col("pos").cast("bigint").alias("pos"), F.col("r.RelationshipId").alias("relationship_id"), F.col("r.RelationshipType").alias("relationship_type"), F.col("r.Source").alias("source_name"), F.col("r.Target").alias("target_name"))
 
 

@@ -198,7 +198,8 @@ def ocr_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entity_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities that the stand-in model extracts from all reports, by type and sub type."""
     rows = extraction.extract(_reports(spark, sf_dir, "report_text"), TEMPLATE, "report_text")
-    found = rows.select("report_id", F.explode("graph.Entities").alias("e"))
+    # explode would add a filter on its input and so a second copy of the whole parse below it; explode_outer doesn't.
+    found = rows.select("report_id", F.explode_outer("graph.Entities").alias("e")).where("e is not null")
     return found.groupBy(F.col("e.EntityType").alias("entity_type"), F.col("e.EntitySubType").alias("sub_type")).agg(F.count(F.lit(1)).alias("entities"), F.countDistinct("report_id").alias("reports"))
 
 
