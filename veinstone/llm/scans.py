@@ -37,6 +37,8 @@ RATIO, FEW, FREQUENT, FREQUENT_IMPOSSIBLE = 20, 4, 3, 1
 AGREEMENT = 0.2
 #: Words without links that pass 2 leaves out at once (the most frequent ones; a constant, whatever the corpus).
 COMMON = 20_000
+#: Words whose vectors are summed at a time.
+AT_ONCE = 200_000
 
 _EDGE = ".,;:?!()[]{}\"“”„«»'’‘…—–*<>"
 _INDICATOR = re.compile(r"[/\\_]|\w\.\w|^(?=.*\d)[0-9a-fA-F]{6,}$|^cve-|^ta\d{4}$|^[\d.,:%+-]+$|@.*\.|^h[tx]{2}p|#", re.I)
@@ -72,6 +74,9 @@ def _is_title(core: str, title: str, lead: bool) -> bool:
     core, title = core.lower().strip(), title.lower()
     if len(title) < 6 or len(core) < len(title) - 3:
         return False
+    words = [w for w in title.split() if len(w) > 2]
+    if len(words) > 1 and not any(w in core for w in words):
+        return False  # a misread glyph or two leave one word of a title whole
     most = max(1, min(3, len(title) // 7))
     for size in range(len(title) - 2, len(title) + 3):
         rest = core[: max(0, len(core) - size)]
@@ -175,40 +180,41 @@ def _words(lines: list[str], gone: dict[int, str], ends: list[tuple[int, int]])
 
 
 def _learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial counts and skip-gram sums of the words of a partition."""
-    counts: dict[str, int] = defaultdict(int)
-    sums: dict[str, np.ndarray] = {}
+    """Partial counts and skip-gram sums of the words of a partition, made in lots of AT_ONCE words as matrices."""
     cache: dict[str, np.ndarray] = {}
 
-    def flush() -> pd.DataFrame:
-        names = list(counts)
-        frame = pd.DataFrame({"word": names, "n": [counts[w] for w in names]})
-        table = np.array([sums[w] for w in names]) if names else np.zeros((0, SIZE))
+    def lot(texts: list[list[str]]) -> pd.DataFrame | None:
+        ids: dict[str, int] = {}
+        flat = np.array([ids.setdefault(w, len(ids)) for words in texts for w in words], np.int64)
+        if not len(flat):
+            return None
+        signs = np.array([_sign_hash(w, cache) for w in ids], np.float32)
+        text = np.repeat(np.arange(len(texts)), [len(words) for words in texts])
+        near = np.zeros((len(flat), SIZE), np.float32)
+        for step in range(1, WINDOW + 1):
+            same = (text[step:] == text[:-step])[:, None]
+            near[step:] += np.where(same, signs[flat[:-step]], 0)
+            near[:-step] += np.where(same, signs[flat[step:]], 0)
+        names = list(ids)
+        keep = np.array([_wordlike(w) for w in names])
+        frame = pd.DataFrame({"word": names, "n": np.bincount(flat, minlength=len(names))})
         for k in range(SIZE):
-            frame[f"v{k}"] = table[:, k]
-        counts.clear()
-        sums.clear()
-        return frame
+            frame[f"v{k}"] = np.bincount(flat, near[:, k], len(names))
+        return frame[keep] if keep.any() else None
 
     for batch in batches:
+        held: list[list[str]] = []
+        total = 0
         for text, title, source in zip(batch["text"], batch["title"], batch["source"]):
             lines, _, gone, ends = body(text, title, source)
-            words = [w for _, _, w in _words(lines, gone, ends)]
-            known = [_sign_hash(w, cache) for w in words]
-            for k, w in enumerate(words):
-                if not _wordlike(w):
-                    continue
-                counts[w] += 1
-                near = [known[j] for j in range(max(0, k - WINDOW), min(len(words), k + WINDOW + 1)) if j != k]
-                if near:
-                    total = np.add.reduce(near)
-                    sums[w] = sums[w] + total if w in sums else total
-                elif w not in sums:
-                    sums[w] = np.zeros(SIZE)
-        if len(counts) > 100_000:
-            yield flush()
-    if counts:
-        yield flush()
+            held.append([w for _, _, w in _words(lines, gone, ends)])
+            total += len(held[-1])
+            if total > AT_ONCE:
+                if (frame := lot(held)) is not None:
+                    yield frame
+                held, total = [], 0
+        if (frame := lot(held)) is not None:
+            yield frame
 
 
 def variants(word: str) -> set[str]:
