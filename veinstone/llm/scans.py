@@ -39,6 +39,8 @@ AGREEMENT = 0.2
 COMMON = 20_000
 #: Words whose vectors are summed at a time.
 AT_ONCE = 200_000
+#: Words whose vectors are summed at a time.
+AT_ONCE = 200_000
 
 _EDGE = ".,;:?!()[]{}\"“”„«»'’‘…—–*<>"
 _INDICATOR = re.compile(r"[/\\_]|\w\.\w|^(?=.*\d)[0-9a-fA-F]{6,}$|^cve-|^ta\d{4}$|^[\d.,:%+-]+$|@.*\.|^h[tx]{2}p|#", re.I)

@@ -40,16 +40,22 @@ def candidates() -> dict[tuple[str, str], list[str]]:
     return out
 
 
+def _values(spark: SparkSession, rows: list[str], columns: str) -> DataFrame:
+    """A literal table: a local relation, known to the optimiser with its size."""
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t({columns})")
+
+
 def constraint_table(spark: SparkSession) -> DataFrame:
     """(relation, source_type, target_type), 24 rows."""
-    return spark.createDataFrame(triples(), "relation string, source_type string, target_type string")
+    return _values(spark, [f"('{r}', '{s}', '{t}')" for r, s, t in triples()], "relation, source_type, target_type")
 
 
 def candidate_table(spark: SparkSession) -> DataFrame:
     """(source_type, target_type, candidates), 21 rows."""
-    return spark.createDataFrame([(s, t, c) for (s, t), c in candidates().items()], "source_type string, target_type string, candidates array<string>")
+    array = lambda c: "array(" + ", ".join(f"'{x}'" for x in c) + ")"
+    return _values(spark, [f"('{s}', '{t}', {array(c)})" for (s, t), c in candidates().items()], "source_type, target_type, candidates")
 
 
 def tactic_table(spark: SparkSession) -> DataFrame:
     """(tactic_id, tactic_name), 14 rows."""
-    return spark.createDataFrame(list(TACTICS.items()), "tactic_id string, tactic_name string")
+    return _values(spark, [f"('{k}', '{v}')" for k, v in TACTICS.items()], "tactic_id, tactic_name")
