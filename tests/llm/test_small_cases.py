@@ -135,6 +135,24 @@ def test_scans(spark):
     assert scans.scan_noise(df.limit(0)).count() == 0
 
 
+def test_links_where_vectors_do_not_agree(spark):
+    page = """Later that week the operators came back to the first server
+and persistence was kept there through schedulecl tasks in a
+renamed binary that no investigators had seen before on any
+of the machines, and the implant asks again when resolution
+fail"""
+    plain = "the scheduled task launches a copy; " * 300 + "by means of scheduled tasks and a copy; " * 30 + "hosts fall back to others; " * 100
+    filler = " ".join(f"{a}{b}{c}" for a in ("bo", "gu", "wy", "zo") for b in "abcdefghkmnoprstuvxyz" for c in ("pax", "tum", "sor", "wen"))
+    df = spark.createDataFrame([(1, page, None, None), (2, plain, None, None), (3, (filler + " ") * 120, None, None)], "report_id long, report_text string, report_name string, feed_title string")
+    df = df.withColumn("key", F.col("report_id")).withColumn("text", F.col("report_text")).withColumn("title", F.lit("")).withColumn("source", F.lit(""))
+    words = scans.read_texts(df).transform(scans.learn_words)
+    vectors = {r.word: r.vector for r in words.where("word in ('schedulecl', 'scheduled', 'fail', 'fall')").collect()}
+    cosine = lambda a, b: sum(x * y for x, y in zip(vectors[a], vectors[b])) / (sum(x * x for x in vectors[a]) * sum(x * x for x in vectors[b])) ** 0.5
+    assert cosine("schedulecl", "scheduled") < scans.AGREEMENT and cosine("fail", "fall") < scans.AGREEMENT
+    got = {(r.line, r.noise, r.shown, r.word) for r in scans.scan_noise(df).collect()}
+    assert got == {(1, "misread", "schedulecl", "scheduled")}
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text("abc  \n。.，x", max_size=300), st.integers(8, 60), st.integers(0, 7))
 def test_split_covers(text, limit, overlap):

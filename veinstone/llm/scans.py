@@ -2,14 +2,16 @@
 
 Lines of a scanned text are hard-wrapped; its furniture is found by form and by the report's title. Words are corrected from the
 corpus itself: skip-gram vectors (each word's sum of signed hashes of its neighbours, two to either side, summed over all texts)
-and counts are learned for every word; a rare word is linked to much more frequent ones that a plausible glyph edit makes of it,
-and in each place the link that agrees best with the place's own neighbours is taken. Then furniture goes and the text is reflowed.
+and counts are learned for every word; a rare word is linked to much more frequent ones that a plausible glyph edit makes of it.
+Where the vectors do not agree, which for a word seen once may be mere noise of the hashes, the skip-gram pairs themselves are
+counted and decide. In each place the link that agrees best with the place's own neighbours is taken. Then furniture goes and the
+text is reflowed.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +35,12 @@ SIZE, WINDOW = 32, 2
 #: A word is linked to one RATIO times as frequent (a word seen once or twice: FEW times), with at least FREQUENT occurrences.
 #: Words with digits or symbols among their letters, which no language has, need one occurrence of what they stand for.
 RATIO, FEW, FREQUENT, FREQUENT_IMPOSSIBLE = 20, 4, 3, 1
-#: Cosine that a link's vectors need at least.
+#: Cosine from which a link's vectors agree. Noise of the hashes is about 1 / sqrt(SIZE), so below it neighbours are counted.
 AGREEMENT = 0.2
+#: A neighbour speaks for a link if it stands beside the frequent word so many times as often as chance has it.
+LIFT = 8
+#: Values of the hash that marks the words whose neighbours are counted (a constant, whatever the corpus).
+MARKS = 1 << 20
 #: Words without links that pass 2 leaves out at once (the most frequent ones; a constant, whatever the corpus).
 COMMON = 20_000
 #: Words whose vectors are summed at a time.
@@ -181,6 +187,22 @@ def _words(lines: list[str], gone: dict[int, str], ends: list[tuple[int, int]])
     return out
 
 
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each text read once: its furniture, its words broken in two, and its words of running text with their lines."""
+    for batch in batches:
+        rows = []
+        for key, text, title, source in zip(batch["key"], batch["text"], batch["title"], batch["source"]):
+            lines, scanned, gone, ends = body(text, title, source)
+            words = _words(lines, gone, ends)
+            parts = [(i, *_break(lines, i, j)) for i, j in ends]
+            rows.append((key, scanned, list(gone), list(gone.values()), [i for i, _, _ in parts], [a for _, a, _ in parts], [b for _, _, b in parts], [i for i, _, _ in words], " ".join(c for _, c, _ in words)))
+        yield pd.DataFrame(rows, columns=["key", "scanned", "gone", "kinds", "broken", "left", "right", "at", "cores"])
+
+
+def _lower(cores: str) -> list[str]:
+    return [c.lower() for c in cores.split(" ")] if cores else []
+
+
 def _learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Partial counts and skip-gram sums of the words of a partition, made in lots of AT_ONCE words as matrices."""
     cache: dict[str, np.ndarray] = {}
@@ -207,9 +229,8 @@ def _learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         held: list[list[str]] = []
         total = 0
-        for text, title, source in zip(batch["text"], batch["title"], batch["source"]):
-            lines, _, gone, ends = body(text, title, source)
-            held.append([w for _, _, w in _words(lines, gone, ends)])
+        for cores in batch["cores"]:
+            held.append(_lower(cores))
             total += len(held[-1])
             if total > AT_ONCE:
                 if (frame := lot(held)) is not None:
@@ -249,22 +270,75 @@ def _cosine(a: str, b: str) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
+def read_texts(texts: DataFrame) -> DataFrame:
+    """texts(key, text, title, source) as `_read` gives them."""
+    return texts.mapInPandas(_read, "key bigint, scanned boolean, gone array<int>, kinds array<string>, broken array<int>, left array<string>, right array<string>, at array<int>, cores string")
+
+
 def learn_words(texts: DataFrame) -> DataFrame:
-    """(word, n, vector) of every word of texts(text, title, source)."""
-    partial = texts.mapInPandas(_learn, "word string, n bigint, " + ", ".join(f"v{k} double" for k in range(SIZE)))
+    """(word, n, vector) of every word of texts that were read."""
+    partial = texts.select("cores").mapInPandas(_learn, "word string, n bigint, " + ", ".join(f"v{k} double" for k in range(SIZE)))
     summed = partial.groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(f"v{k}").alias(f"v{k}") for k in range(SIZE)])
     return summed.select("word", "n", F.array(*[F.col(f"v{k}") for k in range(SIZE)]).alias("vector"))
 
 
-def link_words(words: DataFrame) -> DataFrame:
-    """(word, fixed, n_fixed, vector) of every rare word and each frequent neighbour by a glyph edit whose vector agrees."""
+def _neighbours(marks: frozenset[int]):
+    """(word, near, c): how often a neighbour stands beside each marked word, summed by lots."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[str, bool] = {}
+        counts: Counter[tuple[str, str]] = Counter()
+        frame = lambda: pd.DataFrame([(*pair, c) for pair, c in counts.items()], columns=["word", "near", "c"])
+        for batch in batches:
+            for cores in batch["cores"]:
+                words = _lower(cores)
+                for k, w in enumerate(words):
+                    if w not in seen:
+                        if len(seen) > 100_000:
+                            seen.clear()
+                        seen[w] = _mark(w) in marks
+                    if seen[w]:
+                        counts.update((w, words[j]) for j in range(max(0, k - WINDOW), min(len(words), k + WINDOW + 1)) if j != k)
+                if len(counts) > AT_ONCE:
+                    yield frame()
+                    counts.clear()
+        if counts:
+            yield frame()
+
+    return run
+
+
+def _mark(word: str) -> int:
+    """As Spark's xxhash64, modulo MARKS."""
+    return xxhash.xxh64_intdigest(word, seed=42) & (MARKS - 1)
+
+
+def link_words(words: DataFrame, texts: DataFrame) -> DataFrame:
+    """(word, fixed, n_fixed, vector) of every rare word and each frequent neighbour by a glyph edit that is used alike: the vectors
+    agree, or the places of the rare word have on average a neighbour that stands beside the frequent word far beyond chance.
+
+    texts: what the words were learned from. Pairs are counted only of words in links that are open, found by a hash of theirs.
+    """
     edits = words.mapInPandas(_variants, "word string, n bigint, vector array<double>, fixed string")
     frequent = words.select(F.col("word").alias("fixed"), F.col("n").alias("n_fixed"), F.col("vector").alias("vector_fixed"))
     odd = F.col("word").rlike(r"[\d|@$!€£¢ﬁﬂﬀ]")
     fit = F.when(odd, F.col("n_fixed") >= FREQUENT_IMPOSSIBLE).otherwise((F.col("n_fixed") >= FREQUENT) & (F.col("n_fixed") >= F.when(F.col("n") <= 2, FEW).otherwise(RATIO) * F.col("n")))
     fit = fit & ~F.col("fixed").rlike(r"[\d|@$!€£¢ﬁﬂﬀ]")
-    links = edits.join(frequent, "fixed").where(fit).withColumn("agreement", _cosine("vector", "vector_fixed"))
-    return links.where(odd | (F.col("agreement") >= AGREEMENT)).select("word", "fixed", "n_fixed", F.col("vector_fixed").alias("vector"))
+    links = edits.join(frequent, "fixed").where(fit).withColumn("alike", odd | (_cosine("vector", "vector_fixed") >= AGREEMENT))
+    links = stored(links.select("word", "n", "fixed", "n_fixed", F.col("vector_fixed").alias("vector"), "alike"), "candidates")
+    sure = links.where("alike").drop("n", "alike")
+    doubt = links.where("not alike")
+    marks = frozenset(r[0] for r in doubt.select(F.explode(F.array("word", "fixed")).alias("w")).select(F.xxhash64("w").bitwiseAND(F.lit(MARKS - 1))).distinct().collect())
+    if not marks:
+        return sure
+    near = texts.select("cores").mapInPandas(_neighbours(marks), "word string, near string, c bigint").groupBy("word", "near").agg(F.sum("c").alias("c"))
+    near = stored(near, "neighbours")
+    total = words.agg(F.sum("n")).first()[0]
+    beside = near.select(F.col("word").alias("fixed"), "near", F.col("c").alias("c_fixed")).where(F.col("c_fixed") >= FREQUENT)
+    both = doubt.select("word", "n", "fixed", "n_fixed").join(near, "word").join(beside, ["fixed", "near"]).join(words.select(F.col("word").alias("near"), F.col("n").alias("n_near")), "near")
+    chance = F.col("n_fixed") * F.col("n_near") * F.lit(2.0 * WINDOW / total)
+    spoken = both.where(F.col("c_fixed") >= LIFT * chance).groupBy("word", "fixed", "n").agg(F.sum("c").alias("c")).where("c >= n")
+    return sure.unionByName(doubt.drop("n", "alike").join(spoken.select("word", "fixed"), ["word", "fixed"], "left_semi"))
 
 
 def _places(common: frozenset[str]):
@@ -272,16 +346,12 @@ def _places(common: frozenset[str]):
         cache: dict[str, np.ndarray] = {}
         for batch in batches:
             rows = []
-            for key, text, title, source in zip(batch["key"], batch["text"], batch["title"], batch["source"]):
-                lines, scanned, gone, ends = body(text, title, source)
-                if not scanned:
-                    continue
-                rows += [(key, i, kind, "", "", None) for i, kind in gone.items()]
-                for i, j in ends:
-                    left, right = _break(lines, i, j)
+            for key, gone, kinds, broken, lefts, rights, at, cores in batch[["key", "gone", "kinds", "broken", "left", "right", "at", "cores"]].itertuples(index=False):
+                rows += [(key, i, kind, "", "", None) for i, kind in zip(gone, kinds)]
+                for i, left, right in zip(broken, lefts, rights):
                     if left and right and right.lower() not in _OPEN:
                         rows.append((key, i, "hyphen", left, right, None))
-                words = _words(lines, gone, ends)
+                words = list(zip(at, cores.split(" ") if cores else [], _lower(cores)))
                 for k, (i, core, low) in enumerate(words):
                     if low in common or not _wordlike(low):
                         continue
@@ -320,11 +390,12 @@ def scan_noise(reports: DataFrame, key: str = "report_id", text: str = "report_t
     """
     name = F.regexp_replace(F.regexp_replace(F.coalesce(title, F.lit("")), r"\(.*?\)|\.\w{2,4}$", ""), r"-\d+$", "")
     texts = reports.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), F.trim(F.translate(name, "-_", "  ")).alias("title"), F.coalesce(source, F.lit("")).alias("source")).where(F.trim("text") != "")
+    texts = stored(read_texts(texts), "read")
     words = stored(learn_words(texts), "words")
-    links = stored(link_words(words), "links")
+    links = stored(link_words(words, texts), "links")
     plain = words.select("word", "n").join(links.select("word"), "word", "left_anti").orderBy(F.desc("n"), "word").limit(COMMON)
     common = frozenset(r[0] for r in plain.select("word").collect())
-    places = stored(texts.mapInPandas(_places(common), "key bigint, line int, kind string, a string, b string, near array<double>"), "places")
+    places = stored(texts.where("scanned").mapInPandas(_places(common), "key bigint, line int, kind string, a string, b string, near array<double>"), "places")
 
     fixed = places.where("kind = 'word'").join(links.withColumnRenamed("word", "b"), "b")
     score = _cosine("near", "vector") + F.log10("n_fixed") * 0.5
