@@ -248,6 +248,26 @@ RESIDUE = [
 ]
 
 
+@pytest.mark.parametrize("pattern", residue.FILLERS + residue.ERRORS + residue.SCRIPTS)
+def test_no_pattern_is_scanned_over(pattern):
+    @settings(max_examples=15, deadline=None, database=None)
+    @given(st.from_regex(pattern, fullmatch=True))
+    def run(text):
+        assert not re.search(pattern, text.lower(), re.I) or residue._HINT.search(text.lower())
+
+    run()
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [(t, "filler") for t in ("Example page", "Demo content", "Sample article", "Example paragraph", "Add some content here.", "Enter your description here", "Write some words here", "Auctor congue cras.", "asdf, asdf, asdf, asdf. Read on.")]
+    + [(t, "error_page") for t in ("La page n’existe plus.", "The page doesn’t exist.", 'Not"x"found')] + [("JS must be enabled", "script_notice"), ("[ TODO ]", "placeholder"), *[(t, None) for t in ("The example page of the kit lists its victims by country.", "A decoy document filled with lorem ipsum hid the macro from casual readers.")]],
+)
+def test_residue_without_usual_hints(spark, text, want):
+    got = residue.template_residue(spark.createDataFrame([(1, text, "h")], "doc_id long, text string, source string")).collect()
+    assert [r.residue for r in got] == ([want] if want else [])
+
+
 def test_residue(spark):
     df = spark.createDataFrame([(n, t, None if n % 2 else "h") for n, (t, _) in enumerate(RESIDUE)], "doc_id long, text string, source string").withColumn("key", F.lit(1))
     got = {r.doc_id: r.residue for r in residue.template_residue(df).collect()}

@@ -11,7 +11,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veinstone.session import stored
@@ -77,24 +77,78 @@ _FIELD = re.compile(r"^\s*(?:\w+\.\w+\s*:|[\w ]{1,20},\S+$|\{\s*\"|\w[\w ]{0,20}
 _VARIABLE = re.compile(r"[{}$#%]+\s*(?:" + "|".join(VARIABLES.split()) + r")\s*[{}$%]+")
 
 
-#: What a record must have anywhere, in lower case, to be judged at all. Every pattern above holds one of these or a slot's
-#: opening, so the scan (literals in generated code) leaves out nothing that could be residue.
-HINTS = (
-    "ipsum|lorem|consectetur|mauris|sapien|nulla|tortor|velit|justo|metus|magna|filler|dummy|sample t|sample c|sample p|sample s|example t|example c|"
-    "placeholder|demo t|demo p|javascript|java script|noscript|scripts|script execution|run script|enable script|enable js|with js|without js|js is|"
-    "ecmascript|checking your browser|by an extension|goes here|comes here|your text|your content|your caption|your title|your logo|your name|your company|"
-    "your head|your copy|some text|the text|the copy|the title|the content|put text|insert text|enter text|type text|add text|place text|replace this|"
-    "content to be|text to be|copy to be|do not publish|coming soon|steht|kommt|folgt|mustertext|blindtext|beispieltext|platzhaltertext|fülltext|texto de|"
-    "texte d|texte à|texte provisoire|faux texte|sustituir|avant publication|示例|此处|占位|请替换|测试|under construction|forbidden|not found|gateway|unavailable|"
-    "server error|too many requests|denied|unauthori|bad request|not allowed|timeout|time-out|timed out|no longer exists|has moved|not exist|n't exist|"
-    "be found|n't found|have permission|is blocked|was blocked|been blocked|blocked by|unexpected condition|not connect|not reach|cannot connect|"
-    "cannot reach|expired|maintenance|went wrong|it broke|something broke|exception|fatal error|stack trace|warning:|did not answer|error|refused|"
-    "connection reset|connection closed|not finish your|status 4|status 5|code 4|code 5| gone|not implemented|fehler|nicht gefunden|existiert nicht|"
-    "verweigert|nicht erreichbar|wartungsarbeiten|introuvable|accès refusé|accès interdit|erreur|indisponible|n'existe|no encontrad|acceso denegado|"
-    "no disponible|ya no existe|不存在|未找到|找不到|拒绝|禁止访问|错误|不可用|超时|启用|开启js|打开js|允许js|已禁用|被禁用|未启用"
-).split("|")
-SLOT_HINT = r"\{\{|\{\s*[A-Za-z]|<%|<[a-z]|\[\[|\[[A-Za-z]|@@|__[A-Z]|%[A-Z]|\$[A-Z]|«|XXXX|HERE\]"
-_SLOT_HINT = re.compile(SLOT_HINT)
+#: Texts of an alternative that are spelled out before a part of it is taken instead.
+SPELLED = 200
+
+
+def _needs(pattern: str) -> set[str]:
+    """Literals, in lower case, of which every match of a pattern holds one: read off the parsed pattern, so none is forgotten."""
+
+    def best(options: list[set[str]]) -> set[str]:
+        width = lambda x: sum(1 + (ch > "⺀") for ch in x)
+        return max((o for o in options if o), key=lambda o: (min(5, min(map(width, o))), -len(o)), default=set())
+
+    def follow(parts) -> tuple[set[str] | None, set[str]]:
+        """(all texts of a sequence, None if they are too many; literals it needs, empty if none are known)."""
+        run, runs, whole = {""}, [], True
+        for part in parts:
+            spelled, needed = one(*part)
+            if spelled is not None and len(run) * len(spelled) <= SPELLED:
+                run = {a + b for a in run for b in spelled}
+                continue
+            whole = False
+            runs += [run, needed]
+            run = {""} if spelled is None else spelled
+        runs.append(run)
+        return (run if whole else None), best([r for r in runs if "" not in r])
+
+    def one(op, arg) -> tuple[set[str] | None, set[str]]:
+        name = str(op)
+        if name == "LITERAL":
+            return {chr(arg).lower()}, {chr(arg).lower()}
+        if name == "IN" and all(str(k) == "LITERAL" for k, _ in arg):
+            return {chr(v).lower() for _, v in arg}, {chr(v).lower() for _, v in arg}
+        if name in ("AT", "ASSERT", "ASSERT_NOT"):
+            return {""}, set()
+        if name == "SUBPATTERN":
+            return follow(arg[-1])
+        if name == "BRANCH":
+            found = [follow(x) for x in arg[1]]
+            spelled = set().union(*[f[0] for f in found]) if all(f[0] is not None for f in found) else None
+            return spelled, set().union(*[f[1] for f in found]) if all(f[1] for f in found) else set()
+        if name in ("MAX_REPEAT", "MIN_REPEAT"):
+            least, most, item = arg
+            spelled, needed = follow(item)
+            if (least, most) == (0, 1) and spelled is not None:
+                return spelled | {""}, set()
+            return None, needed if least else set()
+        return None, set()
+
+    return follow(re._parser.parse(pattern))[1]
+
+
+def _hint(literals: set[str]) -> re.Pattern:
+    """One pattern for all literals, as a tree of their first letters; a literal that holds another is left out."""
+    kept = [x for x in literals if not any(y != x and y in x for y in literals)]
+
+    def tree(rest: list[str]) -> str:
+        if "" in rest:
+            return ""
+        heads: dict[str, list[str]] = {}
+        for x in rest:
+            heads.setdefault(x[0], []).append(x[1:])
+        forms = [re.escape(h) + tree(t) for h, t in sorted(heads.items())]
+        return forms[0] if len(forms) == 1 else f"(?:{'|'.join(forms)})"
+
+    return re.compile(tree(kept))
+
+
+_NEEDS = [_needs(p) for p in FILLERS + ERRORS + SCRIPTS]
+if not all(_NEEDS):
+    raise ValueError("a pattern without a literal can't be scanned for")
+_HINT = _hint(set().union(*_NEEDS))
+#: A slot has one of these, whatever is in it.
+_OPENING = re.compile(r"[{<\[@%«$]|__|XXXX")
 
 
 def slots(unit: str) -> list[str]:
@@ -103,25 +157,34 @@ def slots(unit: str) -> list[str]:
 
 
 def _filler(unit: str, words: list[str]) -> bool:
-    if _FILLER.search(unit):
-        return True
+    covered = sum(len(_TOKEN.findall(h[0])) for h in _FILLER.finditer(unit))
+    if covered and (covered >= 0.25 * len(words) or 2 * sum(w in LATIN for w in words) >= len(words)):
+        return True  # a sentence that only mentions stand-in text says something else
+    return _nonsense(words)
+
+
+def _nonsense(words: list[str]) -> bool:
+    """Latin of the usual kind, or the same again and again."""
     if len(words) >= 3 and sum(w in LATIN for w in words) >= 0.75 * len(words):
         return True
     return len(words) >= 3 and len(set(words)) <= max(1, len(words) // 4) or len(words) >= 3 and len(set(words)) == 1
 
 
+#: Kinds without which a record is no residue.
+EVIDENCE = frozenset(["placeholder", "filler", "error_page", "script_notice"])
+
+
 def kind_of(unit: str) -> tuple[str, int]:
     """(kind, weight) of one sentence or line: placeholder, filler, error_page, script_notice, aside, bare or content."""
     words = [w.lower() for w in _TOKEN.findall(unit)]
     weight = max(len(words), 1)
     if not words:
         return "bare", 0
-    low = unit.lower()
-    if _SLOT_HINT.search(unit) and slots(unit):
+    if _OPENING.search(unit) and slots(unit):
         return "placeholder", weight
-    if not any(h in low for h in HINTS) and len(set(words)) > max(1, len(words) // 4):
-        return _other(unit, low, weight)
     plain = _QUOTED.sub(" ", unit).lower().replace("’", "'")
+    if not _HINT.search(plain.replace("ſ", "s").replace("ı", "i")) and not _nonsense(words):
+        return _other(unit, plain, weight)
     plain_words = len(_TOKEN.findall(plain))
     if _filler(plain, words) and plain_words >= 0.6 * weight:
         return "filler", weight
@@ -150,7 +213,7 @@ def residue(lines: list[str], boilerplate: list[bool]) -> str | None:
     units: Counter[str] = Counter()
     order: list[str] = []
     for line, recurrent in zip(lines, boilerplate):
-        for unit in _UNIT.split(line.strip()):
+        for unit in units_of(line):
             kind, weight = kind_of(unit)
             if recurrent and kind in ("content", "bare", "aside"):
                 continue
@@ -169,15 +232,18 @@ def residue(lines: list[str], boilerplate: list[bool]) -> str | None:
     return None
 
 
-def candidate(text: Column) -> Column:
-    """Whether a text could be residue: it has a hint, a slot's opening, or a line that keeps saying the same."""
-    low = F.lower(text)
-    hint = text.rlike(SLOT_HINT)
-    for literal in HINTS:
-        hint = hint | low.contains(literal)
-    words = lambda line: F.split(F.trim(line), r"\s+")
-    same = F.exists(F.split(text, "\n"), lambda x: (F.size(words(x)) >= 3) & (F.size(F.array_distinct(words(F.lower(x)))) * 4 <= F.greatest(F.size(words(x)), F.lit(4))))
-    return hint | same
+def units_of(line: str) -> list[str]:
+    return _UNIT.split(line.strip())
+
+
+def candidate(text: str) -> bool:
+    """Whether a text could be residue: one of its units is evidence. Without any, `residue` finds nothing."""
+    return any(kind_of(unit)[0] in EVIDENCE for line in text.split("\n") for unit in units_of(line))
+
+
+def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield batch[batch["text"].map(candidate).astype(bool)]
 
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -204,7 +270,7 @@ def template_residue(records: DataFrame, key: str = "doc_id", text: str = "text"
     counts = rows.select("host", F.explode(hashes).alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_RECORDS)
     hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("all"))
     recurrent = stored(counts.join(hosts, "host").where(F.col("n") >= LEAST_SHARE * F.col("all")).select("host", "h"), "boilerplate")
-    lines = rows.where(candidate(F.col("text"))).select("key", "host", F.posexplode(split).alias("pos", "line")).withColumn("h", norm(F.col("line")))
+    lines = rows.mapInPandas(_candidates, rows.schema).select("key", "host", F.posexplode(split).alias("pos", "line")).withColumn("h", norm(F.col("line")))
     marked = lines.join(recurrent.withColumn("boiler", F.lit(True)), ["host", "h"], "left")
     whole = marked.groupBy("key").agg(F.collect_list(F.struct("pos", "line", F.coalesce("boiler", F.lit(False)).alias("boiler"))).alias("lines"))
     return whole.mapInPandas(_judge, "key bigint, residue string").withColumnRenamed("key", key)
