@@ -91,6 +91,20 @@ def test_near_keys_against_brute_force(spark):
     assert all(got[p] == want[p] for p in got) and len(missed) <= 0.02 * len(want)
 
 
+def test_near_keys_miss_no_swap(spark):
+    rng = random.Random(3)
+    keys = {"smith", "simth", "abcd", "acbd"} | {"".join(rng.choice("abcd") for _ in range(rng.randrange(4, 10))) for _ in range(60)}
+    for word in ["tombarova", "kelmudin", "pastor", "wexler"]:
+        swap = lambda w, i: w[:i] + w[i + 1] + w[i] + w[i + 2 :]
+        keys |= {word} | {swap(word, i) for i in range(len(word) - 1)} | {swap(swap(word, i), j) for i in range(len(word) - 3) for j in range(i + 2, len(word) - 1)}
+        keys |= {(s := swap(word, i))[:j] + x + s[j + 1 :] for i in range(len(word) - 1) for j in range(len(word)) for x in ("", "q")}
+    keys = sorted(keys)
+    df = spark.createDataFrame([("user", "x", k) for k in keys], "sub string, block string, key string")
+    got = {(r.key_a, r.key_b): r.edits for r in names.near_keys(df).collect()}
+    want = {(a, b): d for a in keys for b in keys if a < b and (d := name_forms.distance(a, b, 2)) <= names.edits_for(min(len(a), len(b)))}
+    assert got == want and ("simth", "smith") in want
+
+
 def test_name_tables(spark):
     schema = "mention_id long, entity_name string, entity_variant_names array<string>, entity_sub_type string, class string"
     rows = [(1, "MHD", ["Makeju Health Department"], "org", "x"), (2, "Makeju Health Dept.", None, "org", "x"), (3, "MHD", ["Mapudena Health Department"], "org", None), (4, None, None, "user", None), (5, " ", [None, ""], "user", None), (6, "Ann Fox", [], "ip", None), (7, "Bob " + "x" * 5000, None, "user", None)]

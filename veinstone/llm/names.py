@@ -3,7 +3,8 @@
 A spelling is parsed to a profile: its key (family name, or the proper words of an organisation), what else must agree (given
 name by nickname table, kinds of organisation) and an initial. Keys are cut into k + 1 segments; of two keys at most k edits
 apart one segment is whole and moved by at most k places, so an inverted index over (block, length, segment number, segment)
-finds all of them; a banded edit distance verifies. Blocks are what must agree anyway: the kinds, or an initial of the given name.
+finds all of them; a banded edit distance verifies. A swap across an edge breaks two segments; it is counted to the left one, so of
+k + 1 segments one is whole but for, at most, its first letter swapped with the one before it, and that form is looked up too. Blocks are what must agree anyway: the kinds, or an initial of the given name.
 """
 
 from __future__ import annotations
@@ -67,6 +68,8 @@ def _probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     for n, at, text in segments("x" * length, edits):
                         for start in range(max(0, at - edits), min(len(key) - len(text), at + edits) + 1):
                             rows.add((sub, block, length, n, key[start : start + len(text)], key))
+                            if start:  # a swap across the segment's left edge
+                                rows.add((sub, block, length, n, key[start - 1] + key[start + 1 : start + len(text)], key))
         yield pd.DataFrame(list(rows), columns=["sub", "block", "length", "n", "text", "key_b"])
 
 
