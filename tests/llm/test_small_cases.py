@@ -1,5 +1,6 @@
 """Defined results of every llm operator on nulls, empty and long texts, ties, repeats, empty tables and clashing names."""
 
+import json
 import random
 import re
 
@@ -8,7 +9,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from veinstone.functions import nested
 from veinstone.llm import collapse, encode, name_forms, names, pack, pairs, residue, scans, split
+from veinstone.operators import flatten
 
 ANSWER = "Attackers used a stolen password to reach the mail server. The report names no group."
 TOLD = "Summarise the following report in three sentences."
@@ -123,6 +126,32 @@ def test_collapse(spark):
     assert all(d.count() == 0 for d in collapse.collapse(df.limit(0)))
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.floats() | st.text(max_size=5), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(max_size=3), x, max_size=4)), st.integers(0, 200), st.sampled_from(["", "]", "}", ",", '"', ":", " "]))
+def test_deep_json_against_library(value, at, extra):
+    text = json.dumps(value, indent=1)
+    text = text[: at % (len(text) + 1)] + extra + text[at % (len(text) + 1) :]
+    try:
+        want = json.loads(text, parse_int=str, parse_float=str, parse_constant=str)
+    except ValueError:
+        with pytest.raises(ValueError):
+            nested._deep(text)
+    else:
+        assert nested._deep(text) == want
+
+
+def test_deep_records():
+    depth = 20_000
+    a = '{"A": 1, "b": ' * depth + '"x"' + "}" * depth
+    b = '{"b":' * depth + '"X"' + ',"a":1}' * depth
+    assert collapse.canonical(a) == collapse.canonical(b) and collapse.canonical(a).startswith("{")
+    graph = '{"Entities": [{"EntityName": "n", "Properties": ' + '{"p":' * depth + '"leaf"' + "}" * depth + "}]}"
+    rows = list(flatten.visit(1, graph))
+    assert [r[0] for r in rows] == ["entity", "Properties"] and rows[1][6] == "leaf"
+    named = '{"Entities": [{"EntityName": "n", "Properties": [{"name": ' + '{"p":' * depth + '"leaf"' + "}" * depth + "}]}]}"
+    assert [r[6] for r in flatten.visit(1, named) if r[0] == "Properties"] == ["leaf"]
+
+
 PAGE = """Notes on Red Fox | 1
 
 The intruders moved laterally and collected browser creden-

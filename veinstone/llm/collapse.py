@@ -6,7 +6,6 @@ punctuation and the order of fields count for nothing, in names as in values. Ar
 
 from __future__ import annotations
 
-import json
 import unicodedata
 
 import pandas as pd
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from veinstone.functions.nested import parse_json
 from veinstone.operators.skew import join_hot
 from veinstone.session import stored
 
@@ -37,13 +37,26 @@ def fold(text: str) -> str:
 
 
 def _canon(value: object) -> str:
-    if isinstance(value, dict):
-        return "{" + ",".join(sorted(f"{fold(k)}:{_canon(v)}" for k, v in value.items())) + "}"
-    if isinstance(value, list):
-        return "[" + ",".join(map(_canon, value)) + "]"
-    if value is None:
-        return "~"
-    return '"' + fold("true" if value is True else "false" if value is False else str(value)) + '"'
+    """With an explicit stack, so that depth is no limit: a container is joined once its parts are done."""
+    stack, done = [(value, False)], []
+    while stack:
+        v, ready = stack.pop()
+        if isinstance(v, (dict, list)) and not ready:
+            stack.append((v, True))
+            stack.extend((x, False) for x in reversed(v.values() if isinstance(v, dict) else v))
+        elif isinstance(v, (dict, list)):
+            start = len(done) - len(v)
+            parts = done[start:]
+            del done[start:]
+            if isinstance(v, dict):
+                done.append("{" + ",".join(sorted(f"{fold(k)}:{part}" for k, part in zip(v, parts))) + "}")
+            else:
+                done.append("[" + ",".join(parts) + "]")
+        elif v is None:
+            done.append("~")
+        else:
+            done.append('"' + fold("true" if v is True else "false" if v is False else str(v)) + '"')
+    return done[0]
 
 
 def canonical(text: str | None) -> str | None:
@@ -51,8 +64,8 @@ def canonical(text: str | None) -> str | None:
     if text is None:
         return None
     try:
-        return _canon(json.loads(text, parse_int=str, parse_float=str, parse_constant=str))
-    except (ValueError, RecursionError):
+        return _canon(parse_json(text))
+    except ValueError:
         return "!" + fold(text)
 
 

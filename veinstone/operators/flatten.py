@@ -7,13 +7,14 @@ rows, and `write_tables` stores them partitioned by tag, so that reading one tab
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veinstone.functions.nested import parse_json
+
 TAGS = ("entity", "relationship", "variant", "Labels", "Times", "Properties", "RelationshipType")
 SCHEMA = "tag string, graph_id bigint, pk string, parent_pk string, parent_pos bigint, item_key string, item_value string, payload map<string,string>"
 _ARROW = pa.schema([("tag", pa.string()), ("graph_id", pa.int64()), ("pk", pa.string()), ("parent_pk", pa.string()), ("parent_pos", pa.int64()), ("item_key", pa.string()), ("item_value", pa.string()), ("payload", pa.map_(pa.string(), pa.string()))])
@@ -29,8 +30,8 @@ def _text(value: object) -> str:
 def _parse(text: str | None) -> object:
     """The JSON value with its numbers as written, None if the text is not whole JSON."""
     try:
-        return json.loads(text, parse_int=str, parse_float=str, parse_constant=str) if text else None
-    except (ValueError, RecursionError):
+        return parse_json(text) if text else None
+    except ValueError:
         return None
 
 
@@ -78,7 +79,10 @@ def listed(value: object, field: str) -> list:
 def _pair(value: object) -> tuple[str, object] | None:
     """(name, value) of an object that stands for one property."""
     if isinstance(value, dict) and (name := next((k for k in _NAME if k in value), None)) and (set(value) <= {*_NAME, *_VALUE}):
-        return _text(value[name]), next((value[k] for k in _VALUE if k in value), None)
+        try:
+            return _text(value[name]), next((value[k] for k in _VALUE if k in value), None)
+        except RecursionError:  # no name but a deep object: its leaves are given instead
+            return None
     return None
 
 
