@@ -178,6 +178,23 @@ def test_scans(spark):
     assert scans.scan_noise(df.limit(0)).count() == 0
 
 
+def test_title_with_each_word_misread():
+    assert scans.furniture(["Tracking Magpie", "Trackinq Maqpie"], "Tracking Magpie") == {0: "header", 1: "header"}
+    assert scans.furniture(["The operators moved on", "Trading Marble"], "Tracking Magpie") == {}
+    rng = random.Random(9)
+    for _ in range(3000):
+        title = "".join(rng.choice("abc ") for _ in range(rng.randrange(6, 30))).strip()
+        if len(title) < 6:
+            continue
+        core = list(title)
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(core) - 1)
+            core[k : k + 2] = rng.choice([[core[k + 1], core[k]], ["x", core[k + 1]], [core[k]], [core[k], "x", core[k + 1]]])
+        core, most = "".join(core).strip(), max(1, min(3, len(title) // 7))
+        if abs(len(core) - len(title)) <= 2 and scans.distance(core, title, most) <= most:
+            assert scans._is_title(core, title, False)
+
+
 def test_links_where_vectors_do_not_agree(spark):
     page = """Later that week the operators came back to the first server
 and persistence was kept there through schedulecl tasks in a

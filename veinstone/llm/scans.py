@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veinstone.llm.name_forms import distance
+from veinstone.llm.name_forms import distance, segments
 from veinstone.session import stored
 
 #: Shown glyphs and what they may stand for.
@@ -82,10 +82,10 @@ def _is_title(core: str, title: str, lead: bool) -> bool:
     core, title = core.lower().strip(), title.lower()
     if len(title) < 6 or len(core) < len(title) - 3:
         return False
-    words = [w for w in title.split() if len(w) > 2]
-    if len(words) > 1 and not any(w in core for w in words):
-        return False  # a misread glyph or two leave one word of a title whole
     most = max(1, min(3, len(title) // 7))
+    tail = core[-len(title) - 2 :]
+    if not any(piece in tail for _, _, piece in segments(title, 2 * most)):
+        return False  # an edit, a swap included, breaks two pieces at most, so one of 2 * most + 1 is whole
     for size in range(len(title) - 2, len(title) + 3):
         rest = core[: max(0, len(core) - size)]
         if len(rest) <= 60 and (lead or not rest or re.search(r"[|:–—-]\s*$", rest)) and distance(core[-size:], title, most) <= most:
