@@ -2,6 +2,7 @@
 
 import xml.etree.ElementTree as ET
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -25,8 +26,33 @@ def test_declaration_wrappers_prose_and_text():
     ET.fromstring(fixed.split("?>", 1)[1])
 
 
-def test_label_prefix_is_not_repaired():
-    assert "<Label>x</Labels>" in xmlrepair.close_matching("<Label>x</Labels>")
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("<Entitys><Entity><Labels><Label>x</Labels><Label>y</Label></Labels></Entity></Entitys>", "<Entitys><Entity><Labels><Label>x</Label><Label>y</Label></Labels></Entity></Entitys>"),
+        ("<Relationship><Source>a</Relationship><Target>b</Targ", "<Relationships><Relationship><Source>a</Source><Target>b</Target></Relationship></Relationships>"),
+        ("<Relationship><Target>b</Relationship><Relationship><Target>c", "<Relationships><Relationship><Target>b</Target></Relationship><Relationship><Target>c</Target></Relationship></Relationships>"),
+        ("<Entity><EntityName>a < b <c> d &amp;</EntityName></Entity></Entity>", "<Entitys><Entity><EntityName>a &lt; b &lt;c&gt; d &amp;amp;</EntityName></Entity></Entitys>"),
+        ("<Source>a</Source><Entity><EntityName/></Entity>", "<Entitys><Entity><EntityName></EntityName></Entity></Entitys>\n<Relationships><Relationship><Source>a</Source></Relationship></Relationships>"),
+        ("a & b", "a &amp; b"), ("", ""), ("<Entity><Property name='a\"b&c' >1</Property>", '<Entitys><Entity><Property name="a&quot;b&amp;c">1</Property></Entity></Entitys>'),
+    ],
+)
+def test_repair(text, want):
+    assert xmlrepair.repair(text) == want
+
+
+def test_unclosed(spark):
+    df = spark.createDataFrame([("<Entity><EntityId>x</EntityId><EntityName a='b'>",), ("<Label>",), ("",), (None,)], "x string")
+    assert [r[0] for r in df.select(xmlrepair.unclosed(F.col("x"))).collect()] == [{"Entity": 1, "EntityName": 1}, {"Label": 1}, {}, {}]
+
+
+def test_sections_alone(spark):
+    good, bad = "<Entitys><Entity><EntityName>a</EntityName></Entity></Entitys>", "<Relationships><Relationship><Source>s</Relationship></Relationships>"
+    right, wrong = "<Relationships><Relationship><Source>s</Source></Relationship></Relationships>", "<Entitys><Entity><EntityName>a</Entity></Entitys>"
+    stray = "<Root><Entity><EntityName>b</EntityName></Entity><Entitys><Entity><EntityName>a</EntityName></Entity></Entitys></Root>"
+    df = spark.createDataFrame([(good + bad,), (wrong + right,), (wrong + bad,), (stray,), ("x & y" + good,)], "x string").select(xmlparse.parse_xml(F.col("x")).alias("g"))
+    got = [([e.EntityName for e in r.g.Entities or []], [e.Source for e in r.g.Relationships or []], r.s) for r in df.withColumn("s", xmlparse.status_of(F.col("g"))).collect()]
+    assert got == [(["a"], [], "MISSING_RELATIONS"), ([], ["s"], "MISSING_ENTITIES"), ([], [], "ERROR"), (["a", "b"], [], "MISSING_RELATIONS"), (["a"], [], "MISSING_RELATIONS")]
 
 
 @settings(max_examples=60, deadline=None)

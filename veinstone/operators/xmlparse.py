@@ -12,7 +12,11 @@ _ENTITY = (
     f"Times: struct<Time: array<string>>, Time: array<string>, Properties: struct<Property: {_PROPERTY}>, Property: {_PROPERTY}"
 )
 _RELATION = "RelationshipId: string, RelationshipType: string, Source: string, Target: string"
-SCHEMA = f"Entitys struct<Entity: array<struct<{_ENTITY}>>>, Relationships struct<Relationship: array<struct<{_RELATION}>>>, _corrupt_record string"
+_ITEMS = {"Entity": f"array<struct<{_ENTITY}>>", "Relationship": f"array<struct<{_RELATION}>>"}
+_SECTIONS = {"Entity": "Entitys", "Relationship": "Relationships"}
+#: What may stand below one root: sections, one or more, and items without a section.
+SCHEMA = ", ".join(f"{_SECTIONS[i]} array<struct<{i}: {t}>>, {i} {t}" for i, t in _ITEMS.items()) + ", _corrupt_record string"
+_OPTIONS = {"mode": "PERMISSIVE", "attributePrefix": "_", "valueTag": "_VALUE", "ignoreSurroundingSpaces": "false", "columnNameOfCorruptRecord": "_corrupt_record"}
 
 
 def escaped(text: Column) -> Column:
@@ -49,18 +53,27 @@ def relation_xml() -> Column:
 
 
 def rooted(text: Column) -> Column:
-    """Both sections under one root: two roots would silently lose the second."""
-    entities = F.regexp_extract(text, r"(?s)<Entitys>.*</Entitys>", 0)
-    relations = F.regexp_extract(text, r"(?s)<Relationships>.*</Relationships>", 0)
-    whole = F.regexp_replace(text, r"^\s*<\?xml[^>]*\?>", "")
-    return F.concat(F.lit("<Root>"), F.when((entities == "") & (relations == ""), whole).otherwise(F.concat(entities, relations)), F.lit("</Root>"))
+    """The text under one root, which may be its own: of two roots the second would silently be lost."""
+    whole = F.regexp_replace(text, r"^\s*<\?xml[^>]*\?>\s*", "")
+    return F.when(whole.rlike(r"(?s)^<Root>.*</Root>\s*$"), whole).otherwise(F.concat(F.lit("<Root>"), whole, F.lit("</Root>")))
+
+
+def _read(text: Column, item: str) -> tuple[Column, Column]:
+    """(items, broken): all items of one kind, those in sections first."""
+    raw = F.from_xml(text, SCHEMA, _OPTIONS)
+    empty = F.array().cast(_ITEMS[item])
+    inside = F.flatten(F.transform(raw[_SECTIONS[item]], lambda s: F.coalesce(s[item], empty)))
+    either = raw[_SECTIONS[item]].isNotNull() | raw[item].isNotNull()
+    broken = F.coalesce(raw["_corrupt_record"].isNotNull() | raw.isNull(), F.lit(True))
+    return F.when(either, F.concat(F.coalesce(inside, empty), F.coalesce(raw[item], empty))), broken
 
 
 def parse_xml(text: Column) -> Column:
-    """struct<Entities, Relationships, error>: wrapper elements come first, direct children serve where the wrapper is absent; of
-    repeated property names the last holds; a null property value is an empty string; broken XML has null lists and an error."""
-    options = {"mode": "PERMISSIVE", "attributePrefix": "_", "valueTag": "_VALUE", "ignoreSurroundingSpaces": "false", "columnNameOfCorruptRecord": "_corrupt_record"}
-    raw = F.from_xml(rooted(text), SCHEMA, options)
+    """struct<Entities, Relationships, error>: the text is parsed as a whole; if it is broken, each section by itself, so that a
+    damaged one takes nothing from the other. Wrapper elements come first, direct children serve where the wrapper is absent; of
+    repeated property names the last holds; a null property value is an empty string; error means that nothing could be read."""
+    whole = rooted(text)
+    section = lambda s: F.concat(F.lit("<Root>"), F.regexp_extract(text, rf"(?s)<{s}>.*?</{s}>", 0), F.lit("</Root>"))
     blank = lambda c: F.nullif(c, F.lit(""))
 
     def entity(e: Column) -> Column:
@@ -73,9 +86,13 @@ def parse_xml(text: Column) -> Column:
         )
 
     relation = lambda r: F.struct(*[blank(r[c]).alias(c) for c in ("RelationshipId", "RelationshipType", "Source", "Target")])
-    broken = raw["_corrupt_record"].isNotNull() | raw.isNull()
-    entities, relations = F.transform(raw["Entitys"]["Entity"], entity), F.transform(raw["Relationships"]["Relationship"], relation)
-    return F.struct(F.when(~broken, entities).alias("Entities"), F.when(~broken, relations).alias("Relationships"), F.coalesce(broken, F.lit(True)).alias("error"))
+    found = {}
+    for item, shape in (("Entity", entity), ("Relationship", relation)):
+        items, broken = _read(whole, item)
+        alone, alone_broken = _read(section(_SECTIONS[item]), item)
+        found[item] = F.transform(F.when(~broken, items).otherwise(F.when(~alone_broken, alone)), shape)
+    error = _read(whole, "Entity")[1] & found["Entity"].isNull() & found["Relationship"].isNull()
+    return F.struct(found["Entity"].alias("Entities"), found["Relationship"].alias("Relationships"), F.coalesce(error, F.lit(True)).alias("error"))
 
 
 def status_of(graph: Column) -> Column:

@@ -1,14 +1,15 @@
-"""Repair of damaged extraction XML: wrong and missing closers, bare characters, unquoted attributes, lost sections.
+"""Repair of damaged extraction XML: wrong and missing closers, bare characters, unquoted attributes, lost wrappers.
 
-The rewriting depends on order, so it is one pure function over a text, applied in Arrow batches. Content outside the two sections
-is dropped; sections that were there before are never lost (if they would be, only closers are repaired).
+A text is read once as a run of known tags and of characters between them. A stack of open elements and the grammar (which
+element may stand in which) tell what each tag means: an opener that has no place where it stands closes what is open there and
+opens what it lacks; a closer that fits nothing closes the leaf it stands in. Every element read is written, so none is lost;
+prose outside leaves is not. The rewriting depends on order, so it is one pure function over a text, applied in Arrow batches.
 """
 
 from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
-from collections import Counter
 from html import escape
 
 import pandas as pd
@@ -16,79 +17,110 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: The known tags in the order in which they are repaired, and those closed by name.
-TAGS = "EntityId EntityName EntityType EntitySubType EntityVariantNames EntityVariantName Labels Label Properties Property Entitys Entity RelationshipId RelationshipType Source Target Relationships Relationship Root".split()
-LEAVES = "Target Source RelationshipId RelationshipType EntityId EntityName EntityType".split()
-PARENTS = "Relationship Entity Relationships Entitys".split()
-_OPEN, _CLOSE = re.compile(r"<([A-Za-z0-9_]+)(?:\s+[^>]*)?>"), re.compile(r"</([A-Za-z0-9_]+)>")
-_MISMATCH = [(re.compile(rf"<{t}>([^<>]*)</(?!{t})\w+>"), rf"<{t}>\1</{t}>") for t in TAGS]
-
-
-def close_matching(text: str) -> str:
-    """Leaf elements closed by another name get their own; a closer that begins with the right name counts as right."""
-    text = re.sub(r"<RelationshipId>([^<>]*)</RelationshipType>", r"<RelationshipId>\1</RelationshipId>", text)
-    for wrong, right in _MISMATCH:
-        text = wrong.sub(right, text)
-    return text
-
-
-def close_open(text: str) -> str:
-    """Missing closers appended at the end, the tags first seen last."""
-    open_tags = Counter(_OPEN.findall(text))
-    open_tags.subtract(_CLOSE.findall(text))
-    text += "".join(f"</{tag}>" for tag, n in reversed(list(open_tags.items())) for _ in range(max(n, 0)))
-    for tag in TAGS:
-        if text.rfind(f"<{tag}>") > text.rfind(f"</{tag}>") and not text.endswith(f"</{tag}>"):
-            text += f"</{tag}>"
-    for tag in LEAVES + PARENTS:
-        if f"<{tag}>" in text and f"</{tag}>" not in text:
-            text += f"</{tag}>"
-    return text
-
-
-def escape_text(text: str) -> str:
-    """Markup characters outside tags escaped; entities that are there are escaped once more."""
-    parts = re.split(r"(<[^>]+>)", text)
-    return "".join(p if n % 2 else escape(p) for n, p in enumerate(parts))
-
-
-def quote_names(text: str) -> str:
-    """Unquoted name attributes of properties quoted, up to the end of the tag."""
-    return re.sub(r"<Property\s+name=([^\"'>][^>]*)>", lambda m: f'<Property name="{m[1].strip()}">', text)
-
-
-def _section(text: str, name: str, item: str) -> str:
-    """The section from its first opener to its first closer or the end; without an opener, its items in a wrapper."""
-    start = text.find(f"<{name}>")
-    if start >= 0:
-        end = text.find(f"</{name}>", start)
-        return text[start : end + len(name) + 3] if end >= 0 else text[start:]
-    items = re.findall(rf"<{item}>.*?</{item}>", text, re.S)
-    return f"<{name}>\n" + "\n".join(items) + f"\n</{name}>" if items else ""
-
-
-def _mended(section: str, name: str) -> str:
-    section = close_open(close_matching(quote_names(escape_text(section))))
-    if not section.startswith(f"<{name}>"):
-        section = f"<{name}>\n{section}"
-    return section if section.rstrip().endswith(f"</{name}>") else f"{section}\n</{name}>"
+#: The grammar. Each element with the elements it may stand in, the usual one first; none for a section.
+PARENTS = {
+    "Entitys": (), "Entity": ("Entitys",),
+    "EntityId": ("Entity",), "EntityName": ("Entity",), "EntityType": ("Entity",), "EntitySubType": ("Entity",),
+    "EntityVariantNames": ("Entity",), "EntityVariantName": ("EntityVariantNames", "Entity"), "Labels": ("Entity",), "Label": ("Labels", "Entity"),
+    "Times": ("Entity",), "Time": ("Times", "Entity"), "Properties": ("Entity",), "Property": ("Properties", "Entity"),
+    "Relationships": (), "Relationship": ("Relationships",),
+    "RelationshipId": ("Relationship",), "RelationshipType": ("Relationship",), "Source": ("Relationship",), "Target": ("Relationship",),
+}
+SECTIONS = [tag for tag, above in PARENTS.items() if not above]
+LEAVES = frozenset(PARENTS) - {above for all_above in PARENTS.values() for above in all_above}
+_TAG = re.compile(rf"<(/?)({'|'.join(PARENTS)}|Root)(?=[\s/>])([^<>]*?)(/?)>")
+_CUT_TAG = re.compile(r"</?(\w*)$")
+_DECLARATION = re.compile(r"\s*(<\?xml[^>]*\?>)")
+_BARE = re.compile(r"&(?!#?\w+;)")
+
+
+def _attributes(tag: str, inside: str) -> str:
+    """The attribute of a property, quoted; other elements have none."""
+    given = re.match(r"\s*name\s*=\s*(.*)$", inside, re.S)
+    if tag != "Property" or not given:
+        return ""
+    value = given[1].strip()
+    if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'":
+        value = value[1:-1]
+    value = _BARE.sub("&amp;", value).replace('"', "&quot;")
+    return f' name="{value}"'
+
+
+class _Writer:
+    """The stack of open elements, and what has been written of each section."""
+
+    def __init__(self) -> None:
+        self.open: list[str] = []
+        self.written: dict[str, list[str]] = {}
+
+    def put(self, text: str) -> None:
+        if self.open:
+            self.written[self.open[0]].append(text)
+
+    def start(self, tag: str, attributes: str = "") -> None:
+        above = PARENTS[tag]
+        while self.open and self.open[-1] not in above:
+            self.end()
+        if above and not self.open:
+            self.start(above[-1])
+        fresh = not above and tag not in self.written
+        self.written.setdefault(tag if not above else self.open[0], [])
+        self.open.append(tag)
+        if above or fresh:  # a section that comes again goes on
+            self.put(f"<{tag}{attributes}>")
+
+    def end(self) -> None:
+        tag = self.open[-1]
+        if PARENTS[tag]:
+            self.put(f"</{tag}>")
+        self.open.pop()
+
+
+def _goes_on(tags: list[re.Match], at: int, name: str) -> bool:
+    """Whether an element goes on after a closer of its name: what follows may stand only in it, or it is closed once more before
+    another of its name opens."""
+    if at + 1 < len(tags) and not tags[at + 1][1] and PARENTS.get(tags[at + 1][2]) == (name,):
+        return True
+    return next((bool(tags[k][1]) for k in range(at + 1, len(tags)) if tags[k][2] == name), False)
 
 
 def repair(text: str) -> str:
-    """The repaired text: both sections, each mended by itself, after an XML declaration if there was one."""
-    declaration = re.match(r"\s*<\?xml[^>]*\?>", text)
-    mended = close_open(close_matching(text))
-    entities, relations = _section(mended, "Entitys", "Entity"), _section(mended, "Relationships", "Relationship")
-    if entities or relations:
-        parts = [_mended(s, n) for s, n in ((entities, "Entitys"), (relations, "Relationships")) if s]
-        out = "\n".join(parts)
-    else:
-        out = close_open(close_matching(quote_names(escape_text(mended))))
-    if declaration and not out.lstrip().startswith("<?xml"):
-        out = declaration[0].strip() + "\n" + out
-    out = close_open(out)
-    lost = any(f"<{tag}>" in text and f"<{tag}>" not in out for tag in ("Entity", "Relationship"))
-    return close_open(text) if lost else out
+    """The repaired text: a section of entities and one of relations, as far as there are any, after an XML declaration if there
+    was one. Text of leaves is escaped, entities in it once more. A text without known elements is escaped as a whole."""
+    tags = list(_TAG.finditer(text))
+    declared = _DECLARATION.match(text)
+    out, at = _Writer(), 0
+    for n, tag in enumerate(tags):
+        between, at = text[at : tag.start()], tag.end()
+        if out.open and out.open[-1] in LEAVES:
+            out.put(escape(between))
+        elif not between.strip():
+            out.put(between)
+        closing, name, inside, empty = tag.groups()
+        if name == "Root":
+            continue
+        if not closing:
+            out.start(name, _attributes(name, inside))
+            if empty:
+                out.end()
+            continue
+        in_leaf = bool(out.open) and out.open[-1] in LEAVES
+        if name in out.open and not (in_leaf and name != out.open[-1] and _goes_on(tags, n, name)):
+            while out.open[-1] != name:
+                out.end()
+            out.end()
+        elif in_leaf:
+            out.end()
+    rest = text[at:]
+    if out.open and out.open[-1] in LEAVES:
+        cut = _CUT_TAG.search(rest)
+        out.put(escape(rest[: cut.start()] if cut and any(tag.startswith(cut[1]) for tag in PARENTS) else rest))
+    while out.open:
+        out.end()
+    parts = [declared[1]] if declared else []
+    if not out.written:
+        return "\n".join([*parts, escape(text[declared.end() :].lstrip("\n") if declared else text)])
+    return "\n".join(parts + ["".join([*out.written[s], f"</{s}>"]) for s in SECTIONS if s in out.written])
 
 
 def validity(text: str) -> tuple[bool, bool, bool]:
@@ -111,6 +143,13 @@ def repaired(text: Column) -> Column:
     return _repaired(text)
 
 
+def unclosed(text: Column) -> Column:
+    """map<tag, openers less closers> of the known tags of a text that are not closed as often as opened."""
+    count = lambda pattern: F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    each = [F.struct(F.lit(tag).alias("key"), (count(rf"<{tag}(?:\s[^<>]*)?>") - count(f"</{tag}>")).alias("value")) for tag in PARENTS]
+    return F.map_from_entries(F.filter(F.array(*each), lambda e: e["value"] > 0))
+
+
 def is_valid(text: Column) -> Column:
     """Whether the text parses below one root, with Spark's own XML parser."""
     schema = "Entitys string, Relationships string, _corrupt_record string"

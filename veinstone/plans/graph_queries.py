@@ -113,10 +113,11 @@ def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def xml_roundtrip_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities written as XML by report and parsed back, with the sizes of their lists."""
+    """Entities written as XML by report and parsed back, with all their contents."""
     rows = _round_trip(spark, sf_dir).select("report_id", F.posexplode_outer("g.Entities").alias("pos", "e")).where("e is not null")
-    size = lambda c: F.coalesce(F.size(f"e.{c}"), F.lit(0)).cast("bigint").alias(c.lower())
-    return rows.select("report_id", F.col("pos").cast("bigint").alias("pos"), F.col("e.EntityId").alias("entity_id"), F.col("e.EntityName").alias("entity_name"), F.col("e.EntityType").alias("entity_type"), size("Labels"), size("Times"), size("Properties"))
+    text = lambda c: F.coalesce(F.array_join(f"e.{c}", "|"), F.lit(""))
+    facts = F.array_join(F.transform(F.array_sort(F.map_entries("e.Properties")), lambda p: F.concat_ws("=", p["key"], p["value"])), "|")
+    return rows.select("report_id", F.col("pos").cast("bigint").alias("pos"), F.col("e.EntityId").alias("entity_id"), F.col("e.EntityName").alias("entity_name"), F.col("e.EntityType").alias("entity_type"), F.col("e.EntitySubType").alias("sub_type"), text("EntityVariantNames").alias("variants"), text("Labels").alias("labels"), text("Times").alias("times"), F.coalesce(facts, F.lit("")).alias("properties"))
 
 
 def xml_roundtrip_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,6 +207,7 @@ _BY = ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in ("vali
 _REPLY = """rep AS (SELECT DISTINCT ON (response_id) response_id, coalesce(response.body.choices[1].message.content, response.choices[1].message.content) AS content FROM batch_responses),
 cut AS (SELECT response_id, content, regexp_extract(content, '(?s)<Entitys>.*?</Entitys>') AS e, regexp_extract(content, '(?s)<Relationships>.*?</Relationships>') AS r, regexp_extract(content, '(?s)```xml\\s*(.*?)\\s*```', 1) AS f FROM rep WHERE content IS NOT NULL)"""
 
+_joined = lambda c: f"coalesce(array_to_string(list_filter({c}, lambda x: x IS NOT NULL), '|'), '')"
 ORACLES = {
     "constraint_violations": f"{_CHECKED} SELECT relation, count(*) AS relations, {_BY} FROM checked GROUP BY relation",
     "constraint_fix_rows": f"{_CHECKED} SELECT relationship_key, report_id, relationship_type, source_type, target_type, pick AS fixed_type FROM checked WHERE status = 'fixed'",
@@ -224,7 +226,8 @@ ORACLES = {
   SELECT report_id, start, node, CAST(min(hops) AS BIGINT) AS hops FROM h GROUP BY ALL""",
     "graph_degree": f"{_GRAPH}, d AS (SELECT source_label AS label, source_name AS name, 1 AS o, 0 AS i FROM edges UNION ALL SELECT target_label, target_name, 0, 1 FROM edges) SELECT label, name, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM d GROUP BY ALL",
     "xml_roundtrip_entities": f"""WITH {_ENT} SELECT report_id, row_number() OVER (PARTITION BY report_id ORDER BY mention_id) - 1 AS pos, nullif(entity_id, '') AS entity_id, nullif(entity_name, '') AS entity_name, nullif(entity_type, '') AS entity_type,
-  CAST(coalesce(len(list_filter(entity_labels, lambda x: x IS NOT NULL)), 0) AS BIGINT) AS labels, CAST(coalesce(len(list_filter(entity_times, lambda x: x IS NOT NULL)), 0) AS BIGINT) AS times, CAST(coalesce(cardinality(entity_properties), 0) AS BIGINT) AS properties FROM ent""",
+  nullif(entity_sub_type, '') AS sub_type, {_joined('entity_variant_names')} AS variants, {_joined('entity_labels')} AS labels, {_joined('entity_times')} AS times,
+  coalesce(array_to_string(list_transform(list_sort(map_entries(entity_properties)), lambda p: p.key || '=' || coalesce(p.value, '')), '|'), '') AS properties FROM ent""",
     "xml_roundtrip_relations": f"WITH {_REL} SELECT report_id, row_number() OVER (PARTITION BY report_id ORDER BY relationship_key) - 1 AS pos, nullif(relationship_id, '') AS relationship_id, nullif(relationship_type, '') AS relationship_type, nullif(source_name, '') AS source_name, nullif(target_name, '') AS target_name FROM rel",
     "xml_status_routing": f"""WITH {_ENT}, {_REL}, r AS (SELECT report_id FROM ent UNION SELECT report_id FROM rel) SELECT CASE WHEN NOT EXISTS (SELECT 1 FROM ent e WHERE e.report_id = r.report_id) THEN 'MISSING_ENTITIES'
   WHEN NOT EXISTS (SELECT 1 FROM rel e WHERE e.report_id = r.report_id) THEN 'MISSING_RELATIONS' ELSE 'SUCCESS' END AS status, count(*) AS reports FROM r GROUP BY ALL""",
