@@ -166,6 +166,9 @@ def tables(tagged: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def write_tables(tagged: DataFrame, path: str) -> None:
-    """Store the tagged rows partitioned by tag, with one task per tag share rather than one file per task and tag."""
-    tagged.write.partitionBy("tag").parquet(path, mode="overwrite")
+def write_tables(tagged: DataFrame, path: str, shards: int | None = None) -> None:
+    """Store the tagged rows partitioned by tag, each tag in at most `shards` files (by default as many as the session's shuffle
+    partitions): rows move to the task of their tag and shard, so no task writes a file for every tag."""
+    shards = shards or int(tagged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shard = F.pmod(F.xxhash64("pk"), F.lit(shards))
+    tagged.repartition(shards, "tag", shard).write.partitionBy("tag").parquet(path, mode="overwrite")

@@ -54,15 +54,20 @@ def chunks_with_number(chunks: DataFrame, order: list[str]) -> DataFrame:
     return placed.join(F.broadcast(offsets), "_part").withColumn("chunk_id", F.col("_from") + F.col("_at")).drop("_part", "_at", "_from")
 
 
-def merge_table(spark: SparkSession, path: str, update: DataFrame, key: str, at: str) -> None:
-    """A Parquet table merged with an update by key; the last row by `at` holds. The new version is written beside the old one and
-    then takes its place."""
+def merge_table(spark: SparkSession, path: str, update: DataFrame, key: str | list[str], at: str) -> None:
+    """A Parquet table merged with an update by key; the last row by `at` holds. The new version is written beside the old one, the
+    old one renamed aside, the new one renamed in, and only then the old one deleted: at every moment one whole version is there,
+    and a merge that broke off between the renames is mended by the next one."""
     from veinstone.operators.ingest import upsert
 
     jvm = spark.sparkContext._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.next")
-    files = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    rows = upsert(spark.read.parquet(path), update, key, at) if files.exists(old) else update
+    here, new, old = (jvm.org.apache.hadoop.fs.Path(f"{path}{end}") for end in ("", ".next", ".old"))
+    files = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(here) and files.exists(old):
+        files.rename(old, here)
+    rows = upsert(spark.read.parquet(path), update, key, at) if files.exists(here) else update
     rows.write.parquet(f"{path}.next", mode="overwrite")
     files.delete(old, True)
-    files.rename(new, old)
+    if files.exists(here) and not files.rename(here, old) or not files.rename(new, here):
+        raise OSError(f"{path} could not be renamed; the merged rows are at {path}.next")
+    files.delete(old, True)
