@@ -33,6 +33,49 @@ def test_pairs(answer, want):
     assert pairs.defect(answer, REQUEST) == want
 
 
+@pytest.mark.parametrize(
+    ("answer", "want"),
+    [
+        ("I'm sorry, I can't help with that. Thank you for asking. I wish you a good day. Do come back soon. Take care of yourself. All the best to you.", "refusal"),
+        ("Thank you for your message. I value it. It is kind of you. I must decline to do this.", "refusal"), ("I have thought about it at length, weighing " + "all that could be said, and " * 20 + "in view of that I can't help with this.", "refusal"),
+        ("I'd rather not answer that.", "refusal"), ("Desculpe, mas não posso ajudar com isso.", "refusal"), ("申し訳ありませんが、お答えできません。", "refusal"), ("Извините, но я не могу помочь.", "refusal"),
+        ("The intruders stole a password and moved to the mail server within a day. Nobody noticed it for weeks, although alarms had been raised. I cannot provide more.", None),
+        ("Os atacantes enviaram mensagens com um anexo manipulado e apagaram as cópias de segurança antes de sair da rede.", "other_language"), ("Злоумышленники отправили сообщения с вложением и удалили резервные копии.", "other_language"),
+        ("A támadók ellopott jelszóval jutottak be a levelezőkiszolgálóra, és hetekig észrevétlenek maradtak.", "other_language"), ("Napadalci so ukradli geslo in vstopili v strežnik brez opozorila vseh nadzornikov.", "other_language"),
+        ("- 203.0.113.7\n- evil.jp", None), ("- a.example\n- bad.site.ir", None), ("- 203.0.113.7\n- update.exe", None), ("- a.example\n- b.exam", "truncated"), ("We moved to version 1.2.3.", None),
+    ],
+)
+def test_pairs_of_any_form(answer, want):
+    assert pairs.defect(answer, REQUEST) == want
+
+
+def test_values_cut_against_the_request():
+    request = TOLD + "\n\nThe hosts were evil.jp, bad.site.ir and 198.51.100.70; the file was C:\\tmp\\update.exe."
+    cases = {"- 203.0.113.7\n- evil.jp": None, "- evil.jp\n- bad.site.i": "truncated", "The data went to 198.51.100.7": "truncated", "The data went to 198.51.": "truncated", "The data went to 198.51.100.70.": None, "bad.sit": "truncated"}
+    assert {a: pairs.defect(a, request) for a in cases} == cases
+
+
+def test_pairs_recall(spark):
+    """Planted defects of every kind over many sentences: at least 0.99 found, none in sound answers."""
+    rng = random.Random(11)
+    passage = [f"The {rng.choice(['group', 'crew', 'gang'])} {rng.choice(['moved', 'sent', 'copied'])} {rng.choice(['mail', 'data', 'tools'])} number {n} to the {rng.choice(['server', 'host', 'share'])} without notice." for n in range(400)]
+    german = [f"Die Täter kopierten am Tag {n} die Daten von einem Rechner auf den anderen." for n in range(60)]
+    rows, want = [], {}
+    for n in range(600):
+        told = rng.choice([TOLD, "Which hosts were used by the attackers?", "Give an overview of the attack described here."])
+        said = rng.sample(passage, 6)
+        request, sound = told + "\n\n" + " ".join(said), " ".join(rng.sample(said, 3))
+        kind = ["empty", "truncated", "refusal", "copied", "other_language", None][n % 6]
+        cut = rng.randrange(20, len(sound) - 12)
+        decline = rng.choice(["I'm sorry, but I can't help with that.", "I must decline this request.", "I am unable to comply."])
+        answer = {"empty": rng.choice(["", " \n", "```\n```"]), "truncated": sound[:cut].rstrip(" .") , "refusal": " ".join(rng.sample(["Thank you.", "Have a good day.", "Ask someone else.", decline], 4)), "copied": rng.choice([told, told.upper(), request]), "other_language": " ".join(rng.sample(german, 3)), None: sound}[kind]
+        rows.append((n, answer, request))
+        want[n] = kind
+    got = {n: pairs.defect(a, r) for n, a, r in rows}
+    wrong = [(n, want[n], got[n]) for n in want if got[n] != want[n]]
+    assert len(wrong) <= 6 and not [w for w in wrong if w[1] is None]
+
+
 def test_asked_language():
     assert pairs.defect("Die Angreifer kamen über das Netz und nahmen die Daten mit.", REQUEST.replace(TOLD, TOLD + " Answer in German.")) is None
     assert pairs.defect(ANSWER, REQUEST.replace(TOLD, TOLD + " Answer in German.")) == "other_language"
