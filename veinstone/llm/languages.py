@@ -1,7 +1,7 @@
 """Which language a short text is written in, which one a request asks for, and whether a text can be of a language at all.
 
 Scripts that tell their language decide first. Among languages in Latin script the share of each language's function words does,
-a word that several have counting less and a word with letters the language lacks against it. A text of a language without a list is still told from one that has: prose without any
+a word that several have counting less and a word with letters the language lacks against it. A text of a language without a list is still told from one that has: prose with hardly any
 of a language's function words is not of it.
 """
 
@@ -108,13 +108,13 @@ def language(text: str) -> str | None:
 
 
 def lacks(text: str, lang: str) -> bool:
-    """Whether a text is prose, of PROSE different words or more, and shows nothing of a language: no function word, or another
+    """Whether a text is prose, of PROSE different words or more, and is not of a language: few function words of it, or another
     script."""
     words, _, plain = _hits(text)
     script = _script(text, words)
     if script:
         return script != lang
-    if plain.get(lang) or words < PROSE:
+    if 10 * plain.get(lang, 0) >= words or words < PROSE:
         return False
     return len({w for w in _WORD.findall(text.lower()) if len(w) > 1}) >= PROSE and (lang in _SETS or lang in SCRIPTS)
 
