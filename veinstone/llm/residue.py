@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,7 +33,7 @@ SLOTS = [
 FILLERS = [
     r"lorem ipsum", r"(?:sample|dummy|placeholder|filler|example|demo) (?:text|content|copy|paragraph|sentence|title|headline|page|article)", r"(?:text|heading|headline|title|content|caption|copy|subtitle|description|summary|body) (?:goes|comes) here",
     r"(?:type|put|insert|enter|write|add|place) (?:your|the|some) (?:text|content|title|copy|words?|heading|caption|description)(?: here)?", r"your (?:text|content|caption|title|heading|headline|copy|logo|name|company) (?:goes )?here", r"replace this (?:paragraph|text|sentence|content|copy|section)", r"(?:copy|content|text|body copy) to be (?:supplied|added|provided|written|determined|announced)",
-    r"is a placeholder(?: for)?", r"do not publish", r"coming soon", r"hier (?:steht|kommt|folgt)(?: später| bald)? (?:der|ein|ihr) text", r"(?:muster|blind|beispiel|platzhalter|füll)text", r"text(?:o|e) (?:de ejemplo|de relleno|de prueba|à remplacer|d'exemple|provisoire|de remplissage)", r"faux texte", r"sustituir antes de publicar", r"avant publication",
+    r"is a placeholder(?: for)?", r"do not publish", r"coming soon", r"hier (?:steht|kommt|folgt)(?: später| bald)? (?:der|ein|ihr) text", r"(?:muster|blind|beispiel|platzhalter|füll)text", r"text(?:o|e) (?:de ejemplo|de relleno|de prueba|à remplacer|d'exemple|provisoire|de remplissage)", r"faux texte",
     r"示例(?:文本|文字|内容)", r"此处(?:填写|输入|插入|添加)", r"占位(?:符|文本|内容)", r"请替换", r"测试(?:文本|内容)", r"under construction",
 ]
 #: Words of the usual nonsense Latin.
@@ -70,7 +71,8 @@ def _any(patterns: list[str]) -> re.Pattern:
 
 _SLOT = re.compile("|".join(f"(?:{p})" for p in SLOTS))
 _FILLER, _ERROR, _SCRIPT, _ASIDE = _any(FILLERS), _any(ERRORS), _any(SCRIPTS), _any(ASIDES)
-_QUOTED = re.compile(r"\"[^\"\n]{1,200}\"|“[^”\n]{1,200}”|„[^“”\n]{1,200}[“”]|'[^'\n]{3,80}'(?!\w)|`[^`\n]{1,200}`|「[^」]{1,200}」")
+_QUOTED = re.compile(r"\"[^\"\n]+\"|“[^”\n]+”|„[^“”\n]+[“”]|(?<!\w)'[^'\n]+'(?!\w)|`[^`\n]+`|「[^」]+」|«[^»\n]+»")
+_QUOTE = re.compile(r"[\"“„'`「«]")
 _UNIT = re.compile(r"(?<=[.!?…])\s+(?=\S)|(?<=[。！？])")
 _TOKEN = re.compile(r"[㐀-鿿]|\w+(?:['’]\w+)?")
 _FIELD = re.compile(r"^\s*(?:\w+\.\w+\s*:|[\w ]{1,20},\S+$|\{\s*\"|\w[\w ]{0,20}[:=]\s*\S)")
@@ -156,8 +158,8 @@ def slots(unit: str) -> list[str]:
     return [s for s in _SLOT.findall(_VARIABLE.sub(" ", unit))]
 
 
-def _filler(unit: str, words: list[str]) -> bool:
-    covered = sum(len(_TOKEN.findall(h[0])) for h in _FILLER.finditer(unit))
+def _filler(plain: str, words: list[str]) -> bool:
+    covered = sum(len(_TOKEN.findall(h[0])) for h in _FILLER.finditer(plain))
     if covered and (covered >= 0.25 * len(words) or 2 * sum(w in LATIN for w in words) >= len(words)):
         return True  # a sentence that only mentions stand-in text says something else
     return _nonsense(words)
@@ -165,36 +167,61 @@ def _filler(unit: str, words: list[str]) -> bool:
 
 def _nonsense(words: list[str]) -> bool:
     """Latin of the usual kind, or the same again and again."""
-    if len(words) >= 3 and sum(w in LATIN for w in words) >= 0.75 * len(words):
+    n = len(words)
+    if n < 3:
+        return False
+    different = set(words)
+    if len(different) <= max(1, n // 4):
         return True
-    return len(words) >= 3 and len(set(words)) <= max(1, len(words) // 4) or len(words) >= 3 and len(set(words)) == 1
+    return len(different) - len(different & LATIN) <= 0.25 * n and sum(w in LATIN for w in words) >= 0.75 * n
 
 
 #: Kinds without which a record is no residue.
 EVIDENCE = frozenset(["placeholder", "filler", "error_page", "script_notice"])
 
 
-def kind_of(unit: str) -> tuple[str, int]:
-    """(kind, weight) of one sentence or line: placeholder, filler, error_page, script_notice, aside, bare or content."""
-    words = [w.lower() for w in _TOKEN.findall(unit)]
-    weight = max(len(words), 1)
+def _covered(pattern: re.Pattern, plain: str) -> tuple[int, int, bool]:
+    """(tokens in matches, tokens in matches or in asides, whether a match leads) of a unit."""
+    hits = [m.span() for m in pattern.finditer(plain)]
+    if not hits:
+        return 0, 0, False
+    count = lambda spans: sum(len(_TOKEN.findall(plain[a:b])) for a, b in spans)
+    free = [(a, b) for a, b in (m.span() for m in _ASIDE.finditer(plain)) if all(b <= x or a >= y for x, y in hits)]
+    return count(hits), count(hits) + count(free), not plain[: hits[0][0]].strip()
+
+
+@lru_cache(maxsize=1 << 16)
+def evidence(unit: str) -> str | None:
+    """The kind of residue a sentence or line is evidence of, None for other units. Units that recur are judged once."""
+    low = unit.lower()
+    words = _TOKEN.findall(low)
     if not words:
-        return "bare", 0
+        return None
     if _OPENING.search(unit) and slots(unit):
-        return "placeholder", weight
-    plain = _QUOTED.sub(" ", unit).lower().replace("’", "'")
-    if not _HINT.search(plain.replace("ſ", "s").replace("ı", "i")) and not _nonsense(words):
-        return _other(unit, plain, weight)
-    plain_words = len(_TOKEN.findall(plain))
-    if _filler(plain, words) and plain_words >= 0.6 * weight:
-        return "filler", weight
+        return "placeholder"
+    plain = low.replace("’", "'")
+    if _QUOTE.search(plain):
+        plain = _QUOTED.sub(" ", plain)
+    if not _HINT.search(plain.replace("ſ", "s").replace("ı", "i")):
+        return "filler" if _nonsense(words) and len(_TOKEN.findall(plain)) >= 0.6 * len(words) else None
+    weight = len(words)
+    if _filler(plain, words) and len(_TOKEN.findall(plain)) >= 0.6 * weight:
+        return "filler"
     for kind, pattern, least in (("script_notice", _SCRIPT, 0.25), ("error_page", _ERROR, 0.34)):
-        hits = list(pattern.finditer(plain))
-        covered = sum(len(_TOKEN.findall(h[0])) for h in hits)
-        leads = hits and not plain[: hits[0].start()].strip() and weight <= 30
-        if hits and (covered >= least * weight and weight <= 16 or covered >= 0.5 * weight or leads and covered >= 2):
-            return kind, weight
-    return _other(unit, plain, weight)
+        covered, beside, leads = _covered(pattern, plain)
+        if covered and (beside >= least * weight and weight <= 16 or beside >= 0.5 * weight or leads and weight <= 30 and covered >= 2):
+            return kind
+    return None
+
+
+def kind_of(unit: str) -> tuple[str, int]:
+    """(kind, weight) of one sentence or line: placeholder, filler, error_page, script_notice, aside, bare or content."""
+    weight = len(_TOKEN.findall(unit.lower()))
+    if not weight:
+        return "bare", 0
+    if kind := evidence(unit):
+        return kind, weight
+    return _other(unit, _QUOTED.sub(" ", unit.lower().replace("’", "'")), weight)
 
 
 def _other(unit: str, plain: str, weight: int) -> tuple[str, int]:
@@ -238,7 +265,7 @@ def units_of(line: str) -> list[str]:
 
 def candidate(text: str) -> bool:
     """Whether a text could be residue: one of its units is evidence. Without any, `residue` finds nothing."""
-    return any(kind_of(unit)[0] in EVIDENCE for line in text.split("\n") for unit in units_of(line))
+    return any(evidence(unit) for line in text.split("\n") for unit in units_of(line))
 
 
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
