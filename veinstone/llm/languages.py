@@ -89,7 +89,8 @@ def _hits(text: str) -> tuple[int, dict[str, float], dict[str, int]]:
         for lang in langs:
             weighted[lang] = weighted.get(lang, 0.0) + 1 / len(langs)
             plain[lang] = plain.get(lang, 0) + 1
-    for marked in (w for w, x in zip(words, shown) if x[0].islower() and _MARKED.search(w)):  # names may be foreign
+    marks = not text.isascii() and weighted
+    for marked in (w for w, x in zip(words, shown) if not w.isascii() and x[0].islower() and _MARKED.search(w)) if marks else ():  # names may be foreign
         for lang in weighted.keys() & _FOREIGN.keys():
             if _FOREIGN[lang].search(marked):
                 weighted[lang] -= 0.5

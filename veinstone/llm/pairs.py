@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -88,7 +89,7 @@ def instruction(request: str) -> str:
 
 def is_empty(answer: str | None) -> bool:
     """Nothing to read: no letter, digit or symbol but fences, marks, white and unseen characters."""
-    return answer is None or not re.search(r"[^\W_]", _UNSEEN.sub("", _FENCE.sub("", answer)))
+    return answer is None or not re.search(r"[^\W_]", _UNSEEN.sub("", _FENCE.sub("", answer) if "```" in answer else answer))
 
 
 def _aligned(template: list[str], sentence: list[str]) -> int | None:
@@ -136,10 +137,10 @@ def _quoted(sentence: str, at: int) -> bool:
     return any(q in sentence[:at] for q in _QUOTES)
 
 
-def is_refusal(answer: str, request: str = "") -> bool:
+def is_refusal(answer: str, request: str = "", words: list[str] | None = None) -> bool:
     """A sentence of the answer, wherever it stands and however long the answer is, declines, and less than half of the answer
     is an answer all the same: sentences whose shingles are the request's."""
-    words = tokens(answer)
+    words = tokens(answer) if words is None else words
     if _TEMPLATES.keys().isdisjoint(words):
         return False
     said = [(x, tokens(x)) for x in _SENTENCE.split(answer.strip()) if x and x.strip()]
@@ -152,10 +153,14 @@ def is_refusal(answer: str, request: str = "") -> bool:
     return 2 * answering < len(words)
 
 
-def is_copy(answer: str, request: str, told: str) -> bool:
+def is_copy(answer: str, request: str, told: str, words: list[str] | None = None) -> bool:
     """The answer aligns with the whole request, or with its instruction, and adds next to nothing."""
-    lines = list(dict.fromkeys(x.strip() for x in answer.split("\n") if x.strip()))
-    mine = tokens(_ROLE.sub("", "\n".join(lines).strip()))
+    given = [x.strip() for x in answer.split("\n") if x.strip()]
+    lines = list(dict.fromkeys(given))
+    if words is not None and len(lines) == len(given) and not _ROLE.match(answer):
+        mine = words
+    else:
+        mine = tokens(_ROLE.sub("", "\n".join(lines)))
     if not mine:
         return False
     for n, least in enumerate((0.65, 0.8)):
@@ -252,16 +257,21 @@ def is_truncated(answer: str, request: str = "") -> bool:
     return bool(value) and "." in value[-1].rstrip(".") and bool(re.search(r"\d\.?$", value[-1])) and last.endswith(value[-1]) and bool(_begins(value[-1], request))
 
 
+def _four(prose: str) -> bool:
+    """Whether there are four tokens."""
+    return sum(1 for _ in islice(_TOKEN.finditer(prose), 4)) == 4
+
+
 def in_other_language(answer: str, told: str) -> bool:
     """The answer's prose is in another language than asked for, or than the instruction's."""
     if re.search(r"</[A-Za-z]", answer):
         return False
     prose = "\n".join(x for x in answer.split("\n") if not re.match(r"\s*(?:[-*•–]|\d+[.)])\s", x) and " " in x.strip() or re.search(r"[㐀-鿿]", x))
     told_words, named, written = _told(told)
-    if len(told_words) > 3 and tokens(prose)[: len(told_words)] == told_words:  # the question repeated before the answer
-        prose = prose[prose.find("\n") + 1 :] if "\n" in prose else prose
-    prose = re.sub(r"\S*[\w-]+\.[\w./@-]+\S*|\b[0-9a-f]{16,}\b", " ", prose)
-    if len(tokens(prose)) < 4:
+    if "\n" in prose and len(told_words) > 3 and tokens(prose[: prose.find("\n")])[: len(told_words)] == told_words:
+        prose = prose[prose.find("\n") + 1 :]  # the question repeated before the answer
+    prose = " ".join(x for x in prose.split() if "." not in x[:-1] and not re.fullmatch("[0-9a-f]{16,}", x))
+    if not _four(prose):
         return False
     found, wanted = language(prose), named or written
     if found and wanted and found != wanted:
@@ -274,10 +284,10 @@ def defect(answer: str | None, request: str | None) -> str | None:
     if is_empty(answer):
         return "empty"
     request = request or ""
-    told = instruction(request)
-    if is_refusal(answer, request):
+    told, words = instruction(request), tokens(answer)
+    if is_refusal(answer, request, words):
         return "refusal"
-    if is_copy(answer, request, told):
+    if is_copy(answer, request, told, words):
         return "copied"
     if is_truncated(answer, request):
         return "truncated"
