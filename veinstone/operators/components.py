@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veinstone.session import cut
+from veinstone.session import cut, discard
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,7 +27,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
     pairs = cut(pairs)
     before = None
     for _ in range(max_rounds):
-        pairs = cut(_star(_star(pairs, True), False))
+        last, pairs = pairs, cut(_star(_star(pairs, True), False))
+        discard(last)
         print_ = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(print_) == before:
             break

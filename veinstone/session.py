@@ -46,30 +46,46 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir if set, else (tests, local mode) a temporary one that is then set."""
+    """The folder all executors share: spark.checkpoint.dir if set, else the session's checkpoint folder, else (tests, local mode) a
+    temporary one that is then set."""
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    given = sc._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or (given.get() if given.isDefined() else None)
     if not folder:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = os.path.join(tempfile.gettempdir(), "veinstone-checkpoints")
         spark.conf.set("spark.checkpoint.dir", folder)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(folder)
     return folder
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder as a Parquet table and read from there: a cut of the lineage that is safe against lost
+    executors, from which later reads prune columns and push filters. The table is deleted when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    files, at = _place(spark, path)
+    files.deleteOnExit(at)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._stored_at = path
+    return read
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and go on from the files: a reliable checkpoint, safe against lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """`stored` under a name of no meaning."""
+    return stored(df, "cut")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Like `cut`, but as a Parquet table, so that later reads prune columns and push filters."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def discard(df: DataFrame) -> None:
+    """Delete the table behind what `stored` gave, once nothing reads it any more."""
+    files, at = _place(df.sparkSession, df._stored_at)
+    files.delete(at, True)
+
+
+def _place(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
