@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
+from typing import NamedTuple
 
 #: Given name and its short forms.
 NICKNAMES = {
@@ -53,7 +55,6 @@ SHORT_KINDS = {
     "univ": "university",
 }
 
-_GIVEN = {form: name for name, forms in NICKNAMES.items() for form in [name, *forms.split()]}
 _CAMEL = re.compile(r"(?<=[a-z]{3})(?=[A-Z][a-z]{2})")
 _CODE = re.compile(r"[A-Z]{1,6}|[A-Z]{1,6}[-_ ]?\d+|UNC\d+")
 
@@ -98,41 +99,51 @@ def segments(key: str, edits: int) -> list[tuple[int, int, str]]:
     return out
 
 
-def _near(word: str, lexicon: dict[str, str]) -> str | None:
-    """The lexicon's entry for a word, exact or one edit away (entries of four letters or more)."""
-    if word in lexicon:
-        return lexicon[word]
-    if len(word) >= 3:
-        for form, entry in lexicon.items():
-            if len(form) >= 4 and abs(len(form) - len(word)) <= 1 and distance(word, form, 1) <= 1:
-                return entry
-    return None
+def _shortened(word: str) -> set[str]:
+    """The word and what is left of it without one letter: two words one edit apart, a swap included, have one of these in common."""
+    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
 
 
-_GIVEN_SEEN: dict[str, str | None] = {}
-_KIND_SEEN: dict[str, str | None] = {}
-_KIND_FORMS = {k: k for k in KINDS} | SHORT_KINDS
+class Lexicon:
+    """Words with their entries, looked up exactly or one edit away (words of four letters or more)."""
 
+    def __init__(self, entries: dict[str, str]) -> None:
+        self.entries = entries
+        self.index: dict[str, list[str]] = {}
+        for form in entries:
+            if len(form) >= 4:
+                for part in sorted(_shortened(form)):
+                    self.index.setdefault(part, []).append(form)
+
+    def near(self, word: str) -> str | None:
+        """The form a word is or is one edit away from, the first of the lexicon's."""
+        if word in self.entries:
+            return word
+        if len(word) < 3:
+            return None
+        found = {form for part in _shortened(word) for form in self.index.get(part, ()) if distance(word, form, 1) <= 1}
+        return next((form for form in self.entries if form in found), None) if found else None
+
+
+_GIVEN = Lexicon({form: name for name, forms in NICKNAMES.items() for form in [name, *forms.split()]})
+_KINDS = Lexicon({k: k for k in KINDS} | SHORT_KINDS)
 
-def _given(word: str) -> str | None:
-    if word not in _GIVEN_SEEN:
-        if len(_GIVEN_SEEN) > 200_000:
-            _GIVEN_SEEN.clear()
-        _GIVEN_SEEN[word] = _near(word, _GIVEN)
-    return _GIVEN_SEEN[word]
 
+@lru_cache(maxsize=1 << 17)
+def _given(word: str) -> tuple[str, str] | None:
+    """(form, entry) of the given name a word is, or may be a misspelling of."""
+    form = _GIVEN.near(word)
+    return (form, _GIVEN.entries[form]) if form else None
 
+
+@lru_cache(maxsize=1 << 17)
 def _kind(word: str, dotted: bool) -> str | None:
-    if dotted and word not in _KIND_FORMS:
+    if dotted and word not in _KINDS.entries:
         return next((k for k in KINDS if abbreviates(word, k)), None)
-    if word not in _KIND_SEEN:
-        if len(_KIND_SEEN) > 200_000:
-            _KIND_SEEN.clear()
-        found = _near(word, _KIND_FORMS)
-        if found is None and len(word) > 4 and word.endswith("s"):
-            found = _near(word[:-2], _KIND_FORMS) if word.endswith("es") and word[:-2] in _KIND_FORMS else _near(word[:-1], _KIND_FORMS)
-        _KIND_SEEN[word] = found
-    return _KIND_SEEN[word]
+    form = _KINDS.near(word)
+    if form is None and len(word) > 4 and word.endswith("s"):
+        form = _KINDS.near(word[:-2]) if word.endswith("es") and word[:-2] in _KINDS.entries else _KINDS.near(word[:-1])
+    return _KINDS.entries[form] if form else None
 
 
 def abbreviates(short: str, word: str) -> bool:
@@ -147,9 +158,20 @@ def abbreviates(short: str, word: str) -> bool:
     return True
 
 
-def parse(name: str | None, sub_type: str) -> tuple[str, str, str] | None:
-    """(key, sure, initial): the part that must agree up to typing errors; the given name or the kinds; an initial that stands
-    for the given name. None for names that say nothing by themselves: null, blank, codes and acronyms."""
+class Parsed(NamedTuple):
+    """key: the part that must agree up to typing errors; sure: the given name (of the table, if it is exactly one of its forms, else
+    as typed) or the kinds; initial: one that stands for the given name; form: the table's form that the given name is, or may be a
+    misspelling of if guess, the name the form stands for, is given: only the corpus can tell."""
+
+    key: str
+    sure: str = ""
+    initial: str = ""
+    guess: str = ""
+    form: str = ""
+
+
+def parse(name: str | None, sub_type: str) -> Parsed | None:
+    """What a name says; None for names that say nothing by themselves: null, blank, codes and acronyms."""
     if not name or not name.strip():
         return None
     if sub_type == "org":
@@ -161,19 +183,25 @@ def parse(name: str | None, sub_type: str) -> tuple[str, str, str] | None:
                 continue
             kind = _kind(word, bool(dot) and len(word) < 6)
             (kinds if kind else keys).append(kind or word)
-        return ("".join(sorted(keys)) or "".join(sorted(kinds)), " ".join(sorted(set(kinds))), "") if keys or kinds else None
+        return Parsed("".join(sorted(keys)) or "".join(sorted(kinds)), " ".join(sorted(set(kinds)))) if keys or kinds else None
     text = plain(name).strip()
     words = [w for w in re.findall(r"[a-z]+", text.lower()) if w not in TITLES or w == text.lower()]
     if not words:
         return None
     initials, full = [w for w in words if len(w) == 1], [w for w in words if len(w) > 1]
     given = [(w, g) for w in full if (g := _given(w))]
+    exact = [(w, g) for w, g in given if g[0] == w]
+    if exact and len(full) > len(exact):
+        given = exact  # a family name may look like a misspelled given name
     if len(full) > 1 and len(given) == len(full):  # every word could be a given name: the order decides
         given = [given[-1] if re.match(r"\s*\w+,", text) else given[0]]
     last = [w for w in full if w not in [w for w, _ in given]]
     if not given and len(last) > 1 and not initials:  # a given name that is not in the list
         first = last.pop() if re.match(r"\s*[^,]+,", text) else last.pop(0)
-        given = [(first, first)]
+        return Parsed("".join(last), first)
     if not last:
-        return None if not given else (given[0][0], "", "")
-    return "".join(last), given[0][1] if given else "", "" if given or not initials else initials[0]
+        return Parsed(given[0][0]) if given else None
+    if not given:
+        return Parsed("".join(last), "", initials[0] if initials else "")
+    word, (form, entry) = given[0]
+    return Parsed("".join(last), entry, "", "", form) if word == form else Parsed("".join(last), word, "", entry, form)
