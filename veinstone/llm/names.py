@@ -90,6 +90,7 @@ def near_keys(keys: DataFrame) -> DataFrame:
     its own, so no task holds all keys of a hot segment.
     """
     at = ["sub", "block", "length", "n", "text"]
+    keys = keys.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")  # few rows become very many
     index = _index(keys)
     hot = index.groupBy(*at).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BLOCK_ROWS)
     hot = checked_broadcast(stored(hot.select(*at, F.ceil(F.col("_n") / BLOCK_ROWS).cast("int").alias("_cuts")), "hot"))
@@ -180,6 +181,7 @@ def link_names(mentions: DataFrame, key: str = "mention_id", name: str = "entity
     one fits, else it is a spelling of its own that ties no rows.
     """
     rows = mentions.select(F.col(key).alias("_id"), F.col(sub_type).alias("sub"), F.concat(F.array(F.col(name)), F.coalesce(F.col(variants), F.array().cast("array<string>"))).alias("_names")).where(F.col("sub").isin("user", "org"))
+    rows = stored(rows, "rows")
     names = rows.select("_id", "sub", F.explode("_names").alias("name")).where("name is not null")
     spelled = names.groupBy("sub", "name").agg(F.count(F.lit(1)).alias("rows"))
     parsed = stored(spelled.mapInPandas(_parsed, "spelling string, rows bigint, sub string, key string, sure string, initial string, guess string, form string"), "parsed")

@@ -1,17 +1,17 @@
 """Text of scanned pages to readable paragraphs: page furniture, words broken across lines, misrecognised characters.
 
 Lines of a scanned text are hard-wrapped; its furniture is found by form and by the report's title. Words are corrected from the
-corpus itself: skip-gram vectors (each word's sum of signed hashes of its neighbours, two to either side, summed over all texts)
-and counts are learned for every word; a rare word is linked to much more frequent ones that a plausible glyph edit makes of it.
-Where the vectors do not agree, which for a word seen once may be mere noise of the hashes, the skip-gram pairs themselves are
-counted and decide. In each place the link that agrees best with the place's own neighbours is taken. Then furniture goes and the
-text is reflowed.
+corpus itself: all words are counted, a rare word is linked to much more frequent ones that a plausible glyph edit makes of it, and
+skip-gram vectors are learned for every word in a link: over all texts the signed hashes of its neighbours, two to either side, a
+neighbour's weight falling with its frequency as subsampling has it. Where the vectors do not agree, which for a word seen once may
+be mere noise of the hashes, the skip-gram pairs themselves are counted and decide. In each place the link that agrees best with
+the place's own neighbours is taken. Then furniture goes and the text is reflowed.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +31,9 @@ GLYPHS = [
     ("lc", "k"), ("k", "lc"), ("ol", "d"), ("d", "ol"), ("lo", "b"), ("b", "lo"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("fi", "h"), ("tl", "d"), ("lt", "k"), ("ct", "d"), ("€", "e"), ("£", "e"), ("¢", "c"), ("ß", "b"), ("é", "e"), ("è", "e"), ("à", "a"), ("ö", "o"), ("ü", "u"),
 ]
 #: Numbers of a skip-gram vector, and neighbours to either side.
-SIZE, WINDOW = 32, 2
+SIZE, WINDOW = 64, 2
+#: Share of all words above which a neighbour counts less: by the root of this over its share (subsampling of frequent words).
+SAMPLE = 1e-3
 #: A word is linked to one RATIO times as frequent (a word seen once or twice: FEW times), with at least FREQUENT occurrences.
 #: Words with digits or symbols among their letters, which no language has, need one occurrence of what they stand for.
 RATIO, FEW, FREQUENT, FREQUENT_IMPOSSIBLE = 20, 4, 3, 1
@@ -39,14 +41,14 @@ RATIO, FEW, FREQUENT, FREQUENT_IMPOSSIBLE = 20, 4, 3, 1
 AGREEMENT = 0.2
 #: A neighbour speaks for a link if it stands beside the frequent word so many times as often as chance has it.
 LIFT = 8
-#: Values of the hash that marks the words whose neighbours are counted (a constant, whatever the corpus).
+#: Values of the hash that marks the words in links (a constant, whatever the corpus).
 MARKS = 1 << 20
-#: Words without links that pass 2 leaves out at once (the most frequent ones; a constant, whatever the corpus).
+#: The most frequent words: those without links pass 2 leaves out at once, and none but these are frequent enough to weigh less (a constant, whatever the corpus).
 COMMON = 20_000
-#: Words whose vectors are summed at a time.
-AT_ONCE = 200_000
-#: Words whose vectors are summed at a time.
-AT_ONCE = 200_000
+#: Words worked on at a time, and words whose sums a task holds before it gives them on.
+AT_ONCE, HELD = 200_000, 50_000
+#: Lines shorter than this are no hard-wrapped prose.
+NARROWEST = 16
 
 _EDGE = ".,;:?!()[]{}\"“”„«»'’‘…—–*<>"
 _INDICATOR = re.compile(r"[/\\_]|\w\.\w|^(?=.*\d)[0-9a-fA-F]{6,}$|^cve-|^ta\d{4}$|^[\d.,:%+-]+$|@.*\.|^h[tx]{2}p|#", re.I)
@@ -63,12 +65,13 @@ def is_scanned(lines: list[str]) -> bool:
     if not spaced:
         return False
     width = spaced[len(spaced) // 8]  # a few running heads may be longer than the text is wide
-    if not 30 <= width <= 130:
+    if width < NARROWEST:
         return False
     full = fits = 0
+    least = min(25, width // 2)
     for a, b in zip(lines, lines[1:]):
         a, b = a.rstrip(), b.strip()
-        if len(a) >= 25 and " " in a and b and not re.search(r"[.!?:]$", a):
+        if len(a) >= least and " " in a and b and a[-1] not in ".!?:":
             word = b.split(" ", 1)[0]
             if len(a) + 1 + len(word) > width - 4 or a.endswith("-"):
                 full += 1
@@ -77,20 +80,38 @@ def is_scanned(lines: list[str]) -> bool:
     return full >= 2 and full >= 3 * fits
 
 
-def _is_title(core: str, title: str, lead: bool) -> bool:
-    """Whether a line's core is the title, up to glyphs and case, alone or after a short prefix; lead: any words may lead."""
-    core, title = core.lower().strip(), title.lower()
-    if len(title) < 6 or len(core) < len(title) - 3:
+class _Title:
+    """A title to find in lines, up to glyphs and case."""
+
+    def __init__(self, title: str) -> None:
+        self.text = title.lower()
+        self.most = max(1, min(3, len(title) // 7))
+        # An edit, a swap included, breaks two pieces at most, so one of 2 * most + 1 is whole.
+        self.pieces = [piece for _, _, piece in segments(self.text, 2 * self.most)] if len(title) >= 6 else []
+
+    def ends(self, core: str, lead: bool) -> bool:
+        """Whether a line's core is the title, alone or after a short prefix; lead: any words may lead."""
+        size = len(self.text)
+        if not self.pieces or len(core) < size - 3:
+            return False
+        core = core.lower().strip()
+        tail = core[-size - 2 :]
+        if len(core) < size - 3 or not any(piece in tail for piece in self.pieces):
+            return False
+        for n in range(size - 2, size + 3):
+            rest = core[: max(0, len(core) - n)]
+            if len(rest) <= 60 and (lead or not rest or re.search(r"[|:–—-]\s*$", rest)) and distance(core[-n:], self.text, self.most) <= self.most:
+                return True
         return False
-    most = max(1, min(3, len(title) // 7))
-    tail = core[-len(title) - 2 :]
-    if not any(piece in tail for _, _, piece in segments(title, 2 * most)):
-        return False  # an edit, a swap included, breaks two pieces at most, so one of 2 * most + 1 is whole
-    for size in range(len(title) - 2, len(title) + 3):
-        rest = core[: max(0, len(core) - size)]
-        if len(rest) <= 60 and (lead or not rest or re.search(r"[|:–—-]\s*$", rest)) and distance(core[-size:], title, most) <= most:
-            return True
-    return False
+
+
+def _is_title(core: str, title: str, lead: bool) -> bool:
+    return _Title(title).ends(core, lead)
+
+
+_NUMBERED, _DOT, _STOP, _HEAD, _HEADING = re.compile(r"[\dIlO]"), re.compile(r"\d+\."), (".", ";", ","), re.compile(r"[A-Z0-9]"), re.compile(r"[A-Z0-9\"“(]")
+_OTHER = re.compile(r"\d|\W|[Ss]eite|[Pp]age")
+_HAS_DIGITS = re.compile(_DIGITS)
 
 
 def furniture(lines: list[str], title: str, source: str = "") -> dict[int, str]:
@@ -98,26 +119,29 @@ def furniture(lines: list[str], title: str, source: str = "") -> dict[int, str]:
     without marking and page number, or a line that recurs beside page numbers."""
     out: dict[int, str] = {}
     cores: dict[int, str] = {}
+    named, sourced = _Title(title), _Title(source)
     for i, line in enumerate(lines):
         s = line.strip()
-        if not s or len(s) > 140:
-            continue
-        if _NUMBER.match(s) and re.search(r"\d|\W|[Ss]eite|[Pp]age", s) and re.search(r"[\dIlO]", s) and not re.fullmatch(r"\d+\.", s):
-            out[i] = "page_number"
+        if not s:
             continue
         core = s
-        for pattern in _WITH_NUMBER:
-            core = pattern.sub("", core)
-        core = _MARKING.sub("", core)
+        if _HAS_DIGITS.search(s):  # no page number is without
+            if _NUMBER.match(s) and _OTHER.search(s) and _NUMBERED.search(s) and not _DOT.fullmatch(s):
+                out[i] = "page_number"
+                continue
+            for pattern in _WITH_NUMBER:
+                core = pattern.sub("", core)
+        if "TLP" in core or "tlp" in core.lower():
+            core = _MARKING.sub("", core)
         cores[i] = core
-        if not re.search(r"[.;,]$", s) and (_is_title(core, title, False) or re.match(r"[A-Z0-9]", core) and _is_title(core, source, True)):
+        if not s.endswith(_STOP) and (named.ends(core, False) or _HEAD.match(core) and sourced.ends(core, True)):
             out[i] = "header"
     # Lines beside a page number, or first or last, that come again: a running line whose title is not known.
     beside: dict[str, list[int]] = defaultdict(list)
     solid = [i for i, x in enumerate(lines) if x.strip()]
     at = {i: k for k, i in enumerate(solid)}
     for i, core in cores.items():
-        if i in out or re.search(r"[.;,]$", core) or not re.match(r"[A-Z0-9\"“(]", core):
+        if i in out or core.endswith(_STOP) or not _HEADING.match(core):
             continue
         k = at[i]
         near = [solid[j] for j in (k - 1, k + 1) if 0 <= j < len(solid)]
@@ -171,73 +195,113 @@ def _sign_hash(word: str, cache: dict[str, np.ndarray]) -> np.ndarray:
     return cache[word]
 
 
-def _words(lines: list[str], gone: dict[int, str], ends: list[tuple[int, int]]) -> list[tuple[int, str, str]]:
-    """(line, core, lower) of each word of running text, in order; broken words are left out."""
+#: A word without surrounding punctuation.
+_CORE = re.compile(rf"[^\s{re.escape(_EDGE)}](?:\S*[^\s{re.escape(_EDGE)}])?")
+
+
+def _words(lines: list[str], gone: dict[int, str], ends: list[tuple[int, int]]) -> list[tuple[int, str]]:
+    """(line, core) of each word of running text, in order; broken words are left out."""
     last, first = {i for i, _ in ends}, {j for _, j in ends}
     out = []
     for i, line in enumerate(lines):
         if i in gone:
             continue
-        parts = line.split()
-        if parts and i in last:
-            parts = parts[:-1]
-        if parts and i in first:
-            parts = parts[1:]
-        out += [(i, c, c.lower()) for c in map(_core, parts) if c]
+        if i in last or i in first:
+            parts = line.split()
+            line = " ".join(parts[i in first : len(parts) - (i in last)])
+        out += [(i, core) for core in _CORE.findall(line)]
     return out
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each text read once: its furniture, its words broken in two, and its words of running text with their lines."""
+    """Each text read once: its furniture, its words broken in two, and its words of running text, if scanned with their lines."""
     for batch in batches:
         rows = []
         for key, text, title, source in zip(batch["key"], batch["text"], batch["title"], batch["source"]):
             lines, scanned, gone, ends = body(text, title, source)
+            if not scanned:
+                rows.append((key, False, [], [], [], [], [], [], " ".join(_CORE.findall(text))))
+                continue
             words = _words(lines, gone, ends)
             parts = [(i, *_break(lines, i, j)) for i, j in ends]
-            rows.append((key, scanned, list(gone), list(gone.values()), [i for i, _, _ in parts], [a for _, a, _ in parts], [b for _, _, b in parts], [i for i, _, _ in words], " ".join(c for _, c, _ in words)))
+            rows.append((key, scanned, list(gone), list(gone.values()), [i for i, _, _ in parts], [a for _, a, _ in parts], [b for _, _, b in parts], [i for i, _ in words], " ".join(c for _, c in words)))
         yield pd.DataFrame(rows, columns=["key", "scanned", "gone", "kinds", "broken", "left", "right", "at", "cores"])
 
 
-def _lower(cores: str) -> list[str]:
-    return [c.lower() for c in cores.split(" ")] if cores else []
+def _split(cores: str) -> list[str]:
+    return cores.split(" ") if cores else []
 
 
-def _learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial counts and skip-gram sums of the words of a partition, made in lots of AT_ONCE words as matrices."""
-    cache: dict[str, np.ndarray] = {}
+def _lots(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """(different words, their numbers in order of the texts, number of the text of each) of lots of about AT_ONCE words."""
 
-    def lot(texts: list[list[str]]) -> pd.DataFrame | None:
+    def lot(texts: list[list[str]]):
         ids: dict[str, int] = {}
         flat = np.array([ids.setdefault(w, len(ids)) for words in texts for w in words], np.int64)
-        if not len(flat):
-            return None
-        signs = np.array([_sign_hash(w, cache) for w in ids], np.float32)
-        text = np.repeat(np.arange(len(texts)), [len(words) for words in texts])
-        near = np.zeros((len(flat), SIZE), np.float32)
-        for step in range(1, WINDOW + 1):
-            same = (text[step:] == text[:-step])[:, None]
-            near[step:] += np.where(same, signs[flat[:-step]], 0)
-            near[:-step] += np.where(same, signs[flat[step:]], 0)
-        names = list(ids)
-        keep = np.array([_wordlike(w) for w in names])
-        frame = pd.DataFrame({"word": names, "n": np.bincount(flat, minlength=len(names))})
-        for k in range(SIZE):
-            frame[f"v{k}"] = np.bincount(flat, near[:, k], len(names))
-        return frame[keep] if keep.any() else None
+        return list(ids), flat, np.repeat(np.arange(len(texts)), [len(words) for words in texts])
 
+    held: list[list[str]] = []
+    total = 0
     for batch in batches:
-        held: list[list[str]] = []
-        total = 0
-        for cores in batch["cores"]:
-            held.append(_lower(cores))
+        for low in batch["low"]:
+            held.append(_split(low))
             total += len(held[-1])
             if total > AT_ONCE:
-                if (frame := lot(held)) is not None:
-                    yield frame
+                yield lot(held)
                 held, total = [], 0
-        if (frame := lot(held)) is not None:
-            yield frame
+    if total:
+        yield lot(held)
+
+
+def _steps(text: np.ndarray, places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(which of the places have it, where it is) for each neighbour in the window, within the text."""
+    for step in (x for n in range(1, WINDOW + 1) for x in (-n, n)):
+        at = places + step
+        has = (at >= 0) & (at < len(text))
+        has[has] = text[at[has]] == text[places[has]]
+        yield np.flatnonzero(has), at[has]
+
+
+def _marked(marks: frozenset[int], names: list[str], seen: dict[str, bool]) -> np.ndarray:
+    if len(seen) > 200_000:
+        seen.clear()
+    out = np.zeros(len(names), bool)
+    for n, w in enumerate(names):
+        if (hit := seen.get(w)) is None:
+            hit = seen[w] = _mark(w) in marks
+        out[n] = hit
+    return out
+
+
+def _learn(marks: frozenset[int], weights: dict[str, float]):
+    """Partial skip-gram sums of the marked words, one row per word and HELD words of a task."""
+    columns = ["word", *(f"v{k}" for k in range(SIZE))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache: dict[str, np.ndarray] = {}
+        seen: dict[str, bool] = {}
+        sums: dict[str, np.ndarray] = {}
+        frame = lambda: pd.DataFrame(np.array(list(sums.values())), columns=columns[1:]).assign(word=list(sums))[columns]
+        for names, flat, text in _lots(batches):
+            places = np.flatnonzero(_marked(marks, names, seen)[flat])
+            if not len(places):
+                continue
+            signs = np.array([_sign_hash(w, cache) * weights.get(w, 1.0) for w in names], np.float32)
+            near = np.zeros((len(places), SIZE), np.float32)
+            for which, at in _steps(text, places):
+                near[which] += signs[flat[at]]
+            words, number = np.unique(flat[places], return_inverse=True)
+            order = np.argsort(number, kind="stable")
+            total = np.add.reduceat(near[order].astype(np.float64), np.searchsorted(number[order], np.arange(len(words))), axis=0)
+            for n, vector in zip(words, total):
+                sums[names[n]] = sums[names[n]] + vector if names[n] in sums else vector
+            if len(sums) > HELD:
+                yield frame()
+                sums.clear()
+        if sums:
+            yield frame()
+
+    return run
 
 
 def variants(word: str) -> set[str]:
@@ -260,8 +324,8 @@ def variants(word: str) -> set[str]:
 
 def _variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = [(w, n, v, f) for w, n, v in zip(batch["word"], batch["n"], batch["vector"]) for f in variants(w)]
-        yield pd.DataFrame(rows, columns=["word", "n", "vector", "fixed"])
+        rows = [(w, n, f) for w, n in zip(batch["word"], batch["n"]) for f in variants(w)]
+        yield pd.DataFrame(rows, columns=["word", "n", "fixed"])
 
 
 def _cosine(a: str, b: str) -> Column:
@@ -271,39 +335,42 @@ def _cosine(a: str, b: str) -> Column:
 
 
 def read_texts(texts: DataFrame) -> DataFrame:
-    """texts(key, text, title, source) as `_read` gives them."""
-    return texts.mapInPandas(_read, "key bigint, scanned boolean, gone array<int>, kinds array<string>, broken array<int>, left array<string>, right array<string>, at array<int>, cores string")
+    """texts(key, text, title, source) as `_read` gives them, with the words in lower case."""
+    read = texts.mapInPandas(_read, "key bigint, scanned boolean, gone array<int>, kinds array<string>, broken array<int>, left array<string>, right array<string>, at array<int>, cores string")
+    return read.withColumn("low", F.lower("cores"))
+
+
+def _wordlike_only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield batch[batch["word"].map(_wordlike).astype(bool)]
+
 
+def count_words(texts: DataFrame) -> DataFrame:
+    """(word, n) of every word of texts that were read."""
+    counts = texts.where("low <> ''").select(F.explode(F.split("low", " ")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return counts.mapInPandas(_wordlike_only, "word string, n bigint")
 
-def learn_words(texts: DataFrame) -> DataFrame:
-    """(word, n, vector) of every word of texts that were read."""
-    partial = texts.select("cores").mapInPandas(_learn, "word string, n bigint, " + ", ".join(f"v{k} double" for k in range(SIZE)))
-    summed = partial.groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(f"v{k}").alias(f"v{k}") for k in range(SIZE)])
-    return summed.select("word", "n", F.array(*[F.col(f"v{k}") for k in range(SIZE)]).alias("vector"))
+
+def learn_vectors(texts: DataFrame, marks: frozenset[int], weights: dict[str, float]) -> DataFrame:
+    """(word, vector) of the marked words, over all texts."""
+    columns = [f"v{k}" for k in range(SIZE)]
+    partial = texts.select("low").mapInPandas(_learn(marks, weights), "word string, " + ", ".join(f"{c} double" for c in columns))
+    summed = partial.groupBy("word").agg(*[F.sum(c).alias(c) for c in columns])
+    return summed.select("word", F.array(*columns).alias("vector"))
 
 
 def _neighbours(marks: frozenset[int]):
-    """(word, near, c): how often a neighbour stands beside each marked word, summed by lots."""
+    """(word, near, c): how often a neighbour stands beside each marked word, by lots."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, bool] = {}
-        counts: Counter[tuple[str, str]] = Counter()
-        frame = lambda: pd.DataFrame([(*pair, c) for pair, c in counts.items()], columns=["word", "near", "c"])
-        for batch in batches:
-            for cores in batch["cores"]:
-                words = _lower(cores)
-                for k, w in enumerate(words):
-                    if w not in seen:
-                        if len(seen) > 100_000:
-                            seen.clear()
-                        seen[w] = _mark(w) in marks
-                    if seen[w]:
-                        counts.update((w, words[j]) for j in range(max(0, k - WINDOW), min(len(words), k + WINDOW + 1)) if j != k)
-                if len(counts) > AT_ONCE:
-                    yield frame()
-                    counts.clear()
-        if counts:
-            yield frame()
+        for names, flat, text in _lots(batches):
+            places = np.flatnonzero(_marked(marks, names, seen)[flat])
+            if len(places):
+                pairs = np.concatenate([flat[places[which]] * len(names) + flat[at] for which, at in _steps(text, places)])
+                pairs, counts = np.unique(pairs, return_counts=True)
+                named = np.array(names, object)
+                yield pd.DataFrame({"word": named[pairs // len(names)], "near": named[pairs % len(names)], "c": counts})
 
     return run
 
@@ -313,27 +380,43 @@ def _mark(word: str) -> int:
     return xxhash.xxh64_intdigest(word, seed=42) & (MARKS - 1)
 
 
+def _marks(words: DataFrame, *columns: str) -> frozenset[int]:
+    """Hashes of the words in some columns, at most MARKS."""
+    rows = words.select(F.explode(F.array(*columns)).alias("w")).select(F.xxhash64("w").bitwiseAND(F.lit(MARKS - 1)).cast("int").alias("m")).distinct()
+    return frozenset(r[0] for r in rows.collect())
+
+
+def _weights(words: DataFrame) -> dict[str, float]:
+    """What frequent words weigh as neighbours, others 1: there are at most 1 / SAMPLE of them."""
+    total = words.agg(F.sum("n")).first()[0] or 1
+    return {w: (SAMPLE * total / n) ** 0.5 for w, n in words.where(F.col("n") > SAMPLE * total).select("word", "n").collect()}
+
+
 def link_words(words: DataFrame, texts: DataFrame) -> DataFrame:
     """(word, fixed, n_fixed, vector) of every rare word and each frequent neighbour by a glyph edit that is used alike: the vectors
-    agree, or the places of the rare word have on average a neighbour that stands beside the frequent word far beyond chance.
+    agree, or the places of the rare word have on average a neighbour that stands beside the frequent word far beyond chance. A
+    word with a digit or symbol among its letters is no word, so there the vectors only choose among what it may stand for.
 
-    texts: what the words were learned from. Pairs are counted only of words in links that are open, found by a hash of theirs.
+    texts: what the words were counted in. Vectors are learned, and pairs counted, only of words in links, found by a hash of theirs.
     """
-    edits = words.mapInPandas(_variants, "word string, n bigint, vector array<double>, fixed string")
-    frequent = words.select(F.col("word").alias("fixed"), F.col("n").alias("n_fixed"), F.col("vector").alias("vector_fixed"))
+    edits = words.mapInPandas(_variants, "word string, n bigint, fixed string")
+    frequent = words.select(F.col("word").alias("fixed"), F.col("n").alias("n_fixed"))
     odd = F.col("word").rlike(r"[\d|@$!€£¢ﬁﬂﬀ]")
     fit = F.when(odd, F.col("n_fixed") >= FREQUENT_IMPOSSIBLE).otherwise((F.col("n_fixed") >= FREQUENT) & (F.col("n_fixed") >= F.when(F.col("n") <= 2, FEW).otherwise(RATIO) * F.col("n")))
     fit = fit & ~F.col("fixed").rlike(r"[\d|@$!€£¢ﬁﬂﬀ]")
-    links = edits.join(frequent, "fixed").where(fit).withColumn("alike", odd | (_cosine("vector", "vector_fixed") >= AGREEMENT))
-    links = stored(links.select("word", "n", "fixed", "n_fixed", F.col("vector_fixed").alias("vector"), "alike"), "candidates")
+    links = stored(edits.join(frequent, "fixed").where(fit).select("word", "n", "fixed", "n_fixed", odd.alias("odd")), "candidates")
+    total = words.agg(F.sum("n")).first()[0] or 1
+    vectors = stored(learn_vectors(texts, _marks(links, "word", "fixed"), _weights(words)), "vectors")
+    of = lambda c, v: vectors.select(F.col("word").alias(c), F.col("vector").alias(v))
+    links = links.join(of("fixed", "vector"), "fixed").join(of("word", "own"), "word")
+    links = stored(links.select("word", "n", "fixed", "n_fixed", "vector", (F.col("odd") | (_cosine("own", "vector") >= AGREEMENT)).alias("alike")), "compared")
     sure = links.where("alike").drop("n", "alike")
     doubt = links.where("not alike")
-    marks = frozenset(r[0] for r in doubt.select(F.explode(F.array("word", "fixed")).alias("w")).select(F.xxhash64("w").bitwiseAND(F.lit(MARKS - 1))).distinct().collect())
+    marks = _marks(doubt, "word", "fixed")
     if not marks:
         return sure
-    near = texts.select("cores").mapInPandas(_neighbours(marks), "word string, near string, c bigint").groupBy("word", "near").agg(F.sum("c").alias("c"))
+    near = texts.select("low").mapInPandas(_neighbours(marks), "word string, near string, c bigint").groupBy("word", "near").agg(F.sum("c").alias("c"))
     near = stored(near, "neighbours")
-    total = words.agg(F.sum("n")).first()[0]
     beside = near.select(F.col("word").alias("fixed"), "near", F.col("c").alias("c_fixed")).where(F.col("c_fixed") >= FREQUENT)
     both = doubt.select("word", "n", "fixed", "n_fixed").join(near, "word").join(beside, ["fixed", "near"]).join(words.select(F.col("word").alias("near"), F.col("n").alias("n_near")), "near")
     chance = F.col("n_fixed") * F.col("n_near") * F.lit(2.0 * WINDOW / total)
@@ -341,21 +424,21 @@ def link_words(words: DataFrame, texts: DataFrame) -> DataFrame:
     return sure.unionByName(doubt.drop("n", "alike").join(spoken.select("word", "fixed"), ["word", "fixed"], "left_semi"))
 
 
-def _places(common: frozenset[str]):
+def _places(common: frozenset[str], weights: dict[str, float]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[str, np.ndarray] = {}
         for batch in batches:
             rows = []
-            for key, gone, kinds, broken, lefts, rights, at, cores in batch[["key", "gone", "kinds", "broken", "left", "right", "at", "cores"]].itertuples(index=False):
+            for key, gone, kinds, broken, lefts, rights, at, cores, lows in batch[["key", "gone", "kinds", "broken", "left", "right", "at", "cores", "low"]].itertuples(index=False):
                 rows += [(key, i, kind, "", "", None) for i, kind in zip(gone, kinds)]
                 for i, left, right in zip(broken, lefts, rights):
                     if left and right and right.lower() not in _OPEN:
                         rows.append((key, i, "hyphen", left, right, None))
-                words = list(zip(at, cores.split(" ") if cores else [], _lower(cores)))
+                words = list(zip(at, _split(cores), _split(lows)))
                 for k, (i, core, low) in enumerate(words):
                     if low in common or not _wordlike(low):
                         continue
-                    near = [_sign_hash(words[j][2], cache) for j in range(max(0, k - WINDOW), min(len(words), k + WINDOW + 1)) if j != k]
+                    near = [_sign_hash(words[j][2], cache) * weights.get(words[j][2], 1.0) for j in range(max(0, k - WINDOW), min(len(words), k + WINDOW + 1)) if j != k]
                     rows.append((key, i, "word", core, low, np.add.reduce(near).tolist() if near else [0.0] * SIZE))
             yield pd.DataFrame(rows, columns=["key", "line", "kind", "a", "b", "near"])
 
@@ -391,11 +474,11 @@ def scan_noise(reports: DataFrame, key: str = "report_id", text: str = "report_t
     name = F.regexp_replace(F.regexp_replace(F.coalesce(title, F.lit("")), r"\(.*?\)|\.\w{2,4}$", ""), r"-\d+$", "")
     texts = reports.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), F.trim(F.translate(name, "-_", "  ")).alias("title"), F.coalesce(source, F.lit("")).alias("source")).where(F.trim("text") != "")
     texts = stored(read_texts(texts), "read")
-    words = stored(learn_words(texts), "words")
+    words = stored(count_words(texts), "words")
     links = stored(link_words(words, texts), "links")
     plain = words.select("word", "n").join(links.select("word"), "word", "left_anti").orderBy(F.desc("n"), "word").limit(COMMON)
     common = frozenset(r[0] for r in plain.select("word").collect())
-    places = stored(texts.where("scanned").mapInPandas(_places(common), "key bigint, line int, kind string, a string, b string, near array<double>"), "places")
+    places = stored(texts.where("scanned").mapInPandas(_places(common, _weights(words)), "key bigint, line int, kind string, a string, b string, near array<double>"), "places")
 
     fixed = places.where("kind = 'word'").join(links.withColumnRenamed("word", "b"), "b")
     score = _cosine("near", "vector") + F.log10("n_fixed") * 0.5
