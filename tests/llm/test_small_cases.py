@@ -196,6 +196,23 @@ def test_collapse(spark):
     assert all(d.count() == 0 for d in collapse.collapse(df.limit(0)))
 
 
+def test_collapse_of_many(spark, monkeypatch):
+    """Hot texts, repeats and forgotten texts against brute force."""
+    monkeypatch.setattr(collapse, "REMEMBERED", 3)
+    rng = random.Random(4)
+    forms = [f'{{"EntityName": "{rng.choice(["Big Fox", "big-fox", "BIGFOX"])} {n}", "k": {n % 2}}}' for n in range(12)]
+    rows = [(n, rng.choice(forms[:1] * 10 + forms)) for n in range(400)]
+    rows += rng.sample(rows, 40)
+    df = spark.createDataFrame(rows, "line_id long, raw_entity string").repartition(5)
+    least, count = {}, {}
+    for n, raw in dict(rows).items():
+        c = collapse.canonical(raw)
+        least[c], count[c] = min(n, least.get(c, n)), count.get(c, 0) + 1
+    classes, members = collapse.collapse(df)
+    assert {(r.kept, r.copies) for r in classes.collect()} == {(least[c], count[c]) for c in least}
+    assert sorted((r.line_id, r.kept) for r in members.collect()) == sorted((n, least[collapse.canonical(raw)]) for n, raw in dict(rows).items())
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.recursive(st.none() | st.booleans() | st.integers() | st.floats() | st.text(max_size=5), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(max_size=3), x, max_size=4)), st.integers(0, 200), st.sampled_from(["", "]", "}", ",", '"', ":", " "]))
 def test_deep_json_against_library(value, at, extra):
