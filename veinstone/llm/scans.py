@@ -16,6 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,10 +45,10 @@ AGREEMENT = 0.2
 LIFT = 8
 #: Values of the hash that marks the words in links (a constant, whatever the corpus).
 MARKS = 1 << 20
-#: The most frequent words: those without links pass 2 leaves out at once, and none but these are frequent enough to weigh less (a constant, whatever the corpus).
-COMMON = 20_000
 #: Words worked on at a time, and words whose sums a task holds before it gives them on.
-AT_ONCE, HELD = 200_000, 50_000
+AT_ONCE, HELD = 500_000, 50_000
+#: Cells of a matrix of counts of neighbours.
+DENSE = 20_000_000
 #: Lines shorter than this are no hard-wrapped prose.
 NARROWEST = 16
 
@@ -186,13 +188,22 @@ def _break(lines: list[str], i: int, j: int) -> tuple[str, str]:
     return lines[i].rstrip().split()[-1].rstrip("-‐­¬").lstrip(_EDGE), lines[j].split()[0].rstrip(_EDGE)
 
 
-def _sign_hash(word: str, cache: dict[str, np.ndarray]) -> np.ndarray:
-    if word not in cache:
-        if len(cache) > 100_000:
-            cache.clear()
-        bits = xxhash.xxh3_64_intdigest(word)
-        cache[word] = np.array([1.0 if bits >> n & 1 else -1.0 for n in range(SIZE)])
-    return cache[word]
+def _signs(words: list[str], weights: dict[str, float]) -> np.ndarray:
+    """A row of SIZE weighted signs for each word, from its hash."""
+    bits = np.frombuffer(b"".join([xxhash.xxh3_64_digest(w) for w in words]), np.uint8).reshape(-1, 8)
+    return (np.unpackbits(bits, axis=1).astype(np.float32) * 2 - 1) * np.array([weights.get(w, 1.0) for w in words], np.float32)[:, None]
+
+
+def _sums(nears: list[list[str]], weights: dict[str, float]) -> list[list[float]]:
+    """The sum of the weighted signs of each list of words."""
+    ids: dict[str, int] = {}
+    flat = np.array([ids.setdefault(w, len(ids)) for words in nears for w in words], np.int64)
+    out = np.zeros((len(nears), SIZE))
+    some = np.flatnonzero([len(words) > 0 for words in nears])
+    if len(some):
+        starts = np.cumsum([0, *(len(nears[n]) for n in some[:-1])])
+        out[some] = np.add.reduceat(_signs(list(ids), weights)[flat].astype(np.float64), starts, axis=0)
+    return out.tolist()
 
 
 #: A word without surrounding punctuation.
@@ -232,25 +243,20 @@ def _split(cores: str) -> list[str]:
     return cores.split(" ") if cores else []
 
 
-def _lots(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
-    """(different words, their numbers in order of the texts, number of the text of each) of lots of about AT_ONCE words."""
-
-    def lot(texts: list[list[str]]):
-        ids: dict[str, int] = {}
-        flat = np.array([ids.setdefault(w, len(ids)) for words in texts for w in words], np.int64)
-        return list(ids), flat, np.repeat(np.arange(len(texts)), [len(words) for words in texts])
-
-    held: list[list[str]] = []
-    total = 0
+def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """(different words, their numbers in order of the texts, number of the text of each) of lots of whole texts, of about AT_ONCE
+    words."""
     for batch in batches:
-        for low in batch["low"]:
-            held.append(_split(low))
-            total += len(held[-1])
-            if total > AT_ONCE:
-                yield lot(held)
-                held, total = [], 0
-    if total:
-        yield lot(held)
+        texts = pc.split_pattern(pc.utf8_lower(batch.column(0)), " ")
+        ends = np.cumsum(pc.list_value_length(texts).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < len(texts):
+            until = ends[start - 1] + AT_ONCE if start else AT_ONCE
+            stop = max(start + 1, int(np.searchsorted(ends, until, "right")))
+            lot = texts.slice(start, stop - start)
+            words = lot.flatten().dictionary_encode()
+            yield words.dictionary.to_pylist(), words.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(lot)), pc.list_value_length(lot).to_numpy(zero_copy_only=False))
+            start = stop
 
 
 def _steps(text: np.ndarray, places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -275,24 +281,27 @@ def _marked(marks: frozenset[int], names: list[str], seen: dict[str, bool]) -> n
 
 def _learn(marks: frozenset[int], weights: dict[str, float]):
     """Partial skip-gram sums of the marked words, one row per word and HELD words of a task."""
-    columns = ["word", *(f"v{k}" for k in range(SIZE))]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict[str, np.ndarray] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, bool] = {}
         sums: dict[str, np.ndarray] = {}
-        frame = lambda: pd.DataFrame(np.array(list(sums.values())), columns=columns[1:]).assign(word=list(sums))[columns]
+        frame = lambda: pa.RecordBatch.from_arrays([pa.array(list(sums)), *map(pa.array, np.array(list(sums.values()), np.float64).T)], names=["word", *(f"v{k}" for k in range(SIZE))])
         for names, flat, text in _lots(batches):
             places = np.flatnonzero(_marked(marks, names, seen)[flat])
             if not len(places):
                 continue
-            signs = np.array([_sign_hash(w, cache) * weights.get(w, 1.0) for w in names], np.float32)
-            near = np.zeros((len(places), SIZE), np.float32)
-            for which, at in _steps(text, places):
-                near[which] += signs[flat[at]]
+            signs = _signs(names, weights)
             words, number = np.unique(flat[places], return_inverse=True)
-            order = np.argsort(number, kind="stable")
-            total = np.add.reduceat(near[order].astype(np.float64), np.searchsorted(number[order], np.arange(len(words))), axis=0)
+            pairs = np.concatenate([number[which] * len(names) + flat[at] for which, at in _steps(text, places)])
+            if len(words) * len(names) <= DENSE:  # few different words: counts as a matrix
+                total = np.bincount(pairs, minlength=len(words) * len(names)).reshape(len(words), len(names)).astype(np.float32) @ signs
+            else:
+                pairs, counts = np.unique(pairs, return_counts=True)
+                total = np.zeros((len(words), SIZE), np.float32)
+                for part in range(0, len(pairs), AT_ONCE):
+                    some = slice(part, part + AT_ONCE)
+                    mine, starts = np.unique(pairs[some] // len(names), return_index=True)
+                    total[mine] += np.add.reduceat(signs[pairs[some] % len(names)] * counts[some, None].astype(np.float32), starts, axis=0)
             for n, vector in zip(words, total):
                 sums[names[n]] = sums[names[n]] + vector if names[n] in sums else vector
             if len(sums) > HELD:
@@ -335,9 +344,8 @@ def _cosine(a: str, b: str) -> Column:
 
 
 def read_texts(texts: DataFrame) -> DataFrame:
-    """texts(key, text, title, source) as `_read` gives them, with the words in lower case."""
-    read = texts.mapInPandas(_read, "key bigint, scanned boolean, gone array<int>, kinds array<string>, broken array<int>, left array<string>, right array<string>, at array<int>, cores string")
-    return read.withColumn("low", F.lower("cores"))
+    """texts(key, text, title, source) as `_read` gives them."""
+    return texts.mapInPandas(_read, "key bigint, scanned boolean, gone array<int>, kinds array<string>, broken array<int>, left array<string>, right array<string>, at array<int>, cores string")
 
 
 def _wordlike_only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -347,14 +355,14 @@ def _wordlike_only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def count_words(texts: DataFrame) -> DataFrame:
     """(word, n) of every word of texts that were read."""
-    counts = texts.where("low <> ''").select(F.explode(F.split("low", " ")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = texts.where("cores <> ''").select(F.explode(F.split(F.lower("cores"), " ")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return counts.mapInPandas(_wordlike_only, "word string, n bigint")
 
 
 def learn_vectors(texts: DataFrame, marks: frozenset[int], weights: dict[str, float]) -> DataFrame:
     """(word, vector) of the marked words, over all texts."""
     columns = [f"v{k}" for k in range(SIZE)]
-    partial = texts.select("low").mapInPandas(_learn(marks, weights), "word string, " + ", ".join(f"{c} double" for c in columns))
+    partial = texts.where("cores <> ''").select("cores").mapInArrow(_learn(marks, weights), "word string, " + ", ".join(f"{c} double" for c in columns))
     summed = partial.groupBy("word").agg(*[F.sum(c).alias(c) for c in columns])
     return summed.select("word", F.array(*columns).alias("vector"))
 
@@ -362,15 +370,15 @@ def learn_vectors(texts: DataFrame, marks: frozenset[int], weights: dict[str, fl
 def _neighbours(marks: frozenset[int]):
     """(word, near, c): how often a neighbour stands beside each marked word, by lots."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, bool] = {}
         for names, flat, text in _lots(batches):
             places = np.flatnonzero(_marked(marks, names, seen)[flat])
             if len(places):
                 pairs = np.concatenate([flat[places[which]] * len(names) + flat[at] for which, at in _steps(text, places)])
                 pairs, counts = np.unique(pairs, return_counts=True)
-                named = np.array(names, object)
-                yield pd.DataFrame({"word": named[pairs // len(names)], "near": named[pairs % len(names)], "c": counts})
+                named = pa.array(names)
+                yield pa.RecordBatch.from_arrays([named.take(pa.array(pairs // len(names))), named.take(pa.array(pairs % len(names))), pa.array(counts.astype(np.int64))], names=["word", "near", "c"])
 
     return run
 
@@ -415,7 +423,7 @@ def link_words(words: DataFrame, texts: DataFrame) -> DataFrame:
     marks = _marks(doubt, "word", "fixed")
     if not marks:
         return sure
-    near = texts.select("low").mapInPandas(_neighbours(marks), "word string, near string, c bigint").groupBy("word", "near").agg(F.sum("c").alias("c"))
+    near = texts.where("cores <> ''").select("cores").mapInArrow(_neighbours(marks), "word string, near string, c bigint").groupBy("word", "near").agg(F.sum("c").alias("c"))
     near = stored(near, "neighbours")
     beside = near.select(F.col("word").alias("fixed"), "near", F.col("c").alias("c_fixed")).where(F.col("c_fixed") >= FREQUENT)
     both = doubt.select("word", "n", "fixed", "n_fixed").join(near, "word").join(beside, ["fixed", "near"]).join(words.select(F.col("word").alias("near"), F.col("n").alias("n_near")), "near")
@@ -424,22 +432,31 @@ def link_words(words: DataFrame, texts: DataFrame) -> DataFrame:
     return sure.unionByName(doubt.drop("n", "alike").join(spoken.select("word", "fixed"), ["word", "fixed"], "left_semi"))
 
 
-def _places(common: frozenset[str], weights: dict[str, float]):
+def _places(marks: frozenset[int], weights: dict[str, float]):
+    """The furniture and breaks of scanned texts, and the places of marked words with what their neighbours sum to."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict[str, np.ndarray] = {}
+        seen: dict[str, bool] = {}
         for batch in batches:
-            rows = []
-            for key, gone, kinds, broken, lefts, rights, at, cores, lows in batch[["key", "gone", "kinds", "broken", "left", "right", "at", "cores", "low"]].itertuples(index=False):
+            rows: list[tuple] = []
+            nears: list[list[str]] = []
+            for key, gone, kinds, broken, lefts, rights, at, cores in batch[["key", "gone", "kinds", "broken", "left", "right", "at", "cores"]].itertuples(index=False):
                 rows += [(key, i, kind, "", "", None) for i, kind in zip(gone, kinds)]
                 for i, left, right in zip(broken, lefts, rights):
                     if left and right and right.lower() not in _OPEN:
                         rows.append((key, i, "hyphen", left, right, None))
-                words = list(zip(at, _split(cores), _split(lows)))
+                words = list(zip(at, _split(cores), _split(cores.lower())))
                 for k, (i, core, low) in enumerate(words):
-                    if low in common or not _wordlike(low):
+                    if low not in seen:
+                        if len(seen) > 200_000:
+                            seen.clear()
+                        seen[low] = _mark(low) in marks
+                    if not seen[low]:
                         continue
-                    near = [_sign_hash(words[j][2], cache) * weights.get(words[j][2], 1.0) for j in range(max(0, k - WINDOW), min(len(words), k + WINDOW + 1)) if j != k]
-                    rows.append((key, i, "word", core, low, np.add.reduce(near).tolist() if near else [0.0] * SIZE))
+                    nears.append([words[j][2] for j in range(max(0, k - WINDOW), min(len(words), k + WINDOW + 1)) if j != k])
+                    rows.append((key, i, "word", core, low, len(nears) - 1))
+            sums = _sums(nears, weights)
+            rows = [(*r[:5], None if r[5] is None else sums[r[5]]) for r in rows]
             yield pd.DataFrame(rows, columns=["key", "line", "kind", "a", "b", "near"])
 
     return run
@@ -476,9 +493,7 @@ def scan_noise(reports: DataFrame, key: str = "report_id", text: str = "report_t
     texts = stored(read_texts(texts), "read")
     words = stored(count_words(texts), "words")
     links = stored(link_words(words, texts), "links")
-    plain = words.select("word", "n").join(links.select("word"), "word", "left_anti").orderBy(F.desc("n"), "word").limit(COMMON)
-    common = frozenset(r[0] for r in plain.select("word").collect())
-    places = stored(texts.where("scanned").mapInPandas(_places(common, _weights(words)), "key bigint, line int, kind string, a string, b string, near array<double>"), "places")
+    places = stored(texts.where("scanned").mapInPandas(_places(_marks(links, "word"), _weights(words)), "key bigint, line int, kind string, a string, b string, near array<double>"), "places")
 
     fixed = places.where("kind = 'word'").join(links.withColumnRenamed("word", "b"), "b")
     score = _cosine("near", "vector") + F.log10("n_fixed") * 0.5
