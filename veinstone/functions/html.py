@@ -7,7 +7,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 
 class _Reader(HTMLParser):
@@ -47,6 +47,24 @@ def read_page(page: str | bytes) -> tuple[str, str]:
     return "".join(reader.title or []), " ".join(reader.texts)
 
 
+class _Anchors(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.found: list[str] = []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "a":
+            self.found += [value for name, value in attrs if name == "href" and value]
+
+
+def read_links(page: str) -> list[str]:
+    """The href of every anchor that has one."""
+    reader = _Anchors()
+    reader.feed(page)
+    reader.close()
+    return reader.found
+
+
 _PAGE = StructType().add("title", StringType()).add("content", StringType())
 
 
@@ -60,6 +78,16 @@ def page(html: Column) -> Column:
     return _pages(html)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _links(pages: pd.Series) -> pd.Series:
+    return pages.map(read_links, na_action="ignore")
+
+
+def links(html: Column) -> Column:
+    """array<string> of the targets of a page's anchors, in order."""
+    return _links(html)
+
+
 def splash_url(html: Column, template: str) -> Column:
     """The download address hidden in a page's last script: its first assignment's JSON fills the template's %s with file id and name."""
     scripts = F.regexp_extract_all(html, F.lit(r"(?s)<script[^>]*>(.*?)</script>"), F.lit(1))

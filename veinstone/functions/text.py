@@ -45,6 +45,14 @@ def report_year(name: Column, path: Column) -> Column:
     return F.coalesce(year_of_name(name), year_of_path(path))
 
 
+def scan_year(path: Column) -> Column:
+    """The year of a scanned file as text: the parent directory if it is one of this century, else the first such year in the name,
+    else "unknown"."""
+    parent = F.regexp_extract(path, r"(?:^|/)(20\d{2})/[^/]*$", 1)
+    named = F.regexp_extract(base_name(path), r"(20\d{2})", 1)
+    return F.coalesce(F.nullif(parent, F.lit("")), F.nullif(named, F.lit("")), F.lit("unknown"))
+
+
 def custom_id(year: Column, name: Column, key: Column) -> Column:
     """year_stem_hash, the same for the same key."""
     return F.concat_ws("_", year.cast("string"), name, F.substring(F.sha2(key.cast("string"), 256), 1, 8))
@@ -71,6 +79,36 @@ def user_question(message: Column) -> Column:
     return F.coalesce(direct, nested, data, message)
 
 
+def agent_input(value: Column) -> Column:
+    """What an agent was given, as text: the input of an object that has one, else the value as it is."""
+    return F.coalesce(F.try_variant_get(F.try_parse_json(value), "$.input", "string"), value)
+
+
+def is_web(address: Column) -> Column:
+    """Whether an address begins with http."""
+    return F.coalesce(address.startswith("http"), F.lit(False))
+
+
+def safe_key(key: Column) -> Column:
+    """A key as an identifier: in backticks if it has a space, a hyphen or a dot."""
+    return F.when(key.rlike(r"[ .-]"), F.concat(F.lit("`"), key, F.lit("`"))).otherwise(key)
+
+
+def document_title(title: Column, path: Column) -> Column:
+    """The title a document gives, else its file's name without extension."""
+    return F.coalesce(F.nullif(F.trim(title), F.lit("")), stem(path))
+
+
+def iso(at: Column) -> Column:
+    """A time as ISO 8601 text with microseconds where there are any."""
+    return F.regexp_replace(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", "")
+
+
+def stamp(at: Column) -> Column:
+    """A time as it goes into file names."""
+    return F.date_format(at, "yyyyMMdd_HHmmss")
+
+
 def title_of(reply: Column, conversation: Column) -> Column:
     """A conversation's title: the title of a JSON reply, else the reply without white space around it, else the conversation's id."""
     return F.coalesce(F.nullif(F.get_json_object(reply, "$.title"), F.lit("")), F.nullif(F.trim(reply), F.lit("")), conversation)

@@ -54,8 +54,10 @@ def line_counts(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.agg(F.count(F.lit(1)).alias("total"), F.count_if(valid).alias("valid"), F.count_if(~valid).alias("invalid"))
 
 
-def run_stats(rows: DataFrame, status: str = "status", success: str = "SUCCESS") -> DataFrame:
-    """One row: total, succeeded, failed, success_rate in percent (null for no rows)."""
-    done = F.count_if(F.col(status) == success)
+def run_stats(rows: DataFrame, status: str = "status", success: str = "SUCCESS", skipped: tuple[str, ...] = (), size: str | None = None) -> DataFrame:
+    """One row: total, succeeded, failed, success_rate in percent (null for no rows); with `skipped`, statuses that are neither, also
+    their number, and with `size` the summed octets of that column."""
+    done, idle = F.count_if(F.col(status) == success), F.count_if(F.col(status).isin(*skipped)) if skipped else F.lit(0)
     total = F.count(F.lit(1))
-    return rows.agg(total.alias("total"), done.alias("succeeded"), (total - done).alias("failed"), F.round(100.0 * done / F.nullif(total, F.lit(0)), 2).alias("success_rate"))
+    more = ([idle.alias("skipped")] if skipped else []) + ([F.sum(F.octet_length(size)).alias("octets")] if size else [])
+    return rows.agg(total.alias("total"), done.alias("succeeded"), (total - done - idle).alias("failed"), F.round(100.0 * done / F.nullif(total, F.lit(0)), 2).alias("success_rate"), *more)

@@ -69,6 +69,14 @@ def clear_graph(nodes: DataFrame, edges: DataFrame, confirm: bool = False) -> tu
     return (nodes.limit(0), edges.limit(0)) if confirm else (nodes, edges)
 
 
+def clear_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: what a clearing would remove, that is nodes, edges, labels and types, and property keys with a value."""
+    kinds = graph_stats(nodes, edges)
+    filled = nodes.agg(*[F.count_if(F.col(c).isNotNull()).alias(c) for c in nodes.columns if c not in ("label", "name")])
+    keys = F.array_join(F.filter(F.array(*[F.when(F.col(c) > 0, c) for c in filled.columns]), lambda c: c.isNotNull()), ",") if filled.columns else F.lit("")
+    return kinds.crossJoin(filled.select(keys.alias("keys")))  # one row each
+
+
 def clear_properties(nodes: DataFrame, keep: tuple[str, ...] = ("label", "name")) -> DataFrame:
     """All columns but the key set to null."""
     return nodes.select(*[F.col(c) if c in keep else F.lit(None).cast(t).alias(c) for c, t in nodes.dtypes])

@@ -22,6 +22,30 @@ def context(hits: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     return queries.select("query_id").join(out, "query_id", "left").select("query_id", F.coalesce("context", F.lit(NONE)).alias("context"), F.coalesce("documents", F.lit(0)).alias("documents"))
 
 
+def gated(questions: DataFrame, use_rag: str, database: bool = True) -> DataFrame:
+    """questions with retrieve: whether retrieval runs for one, that is, its column `use_rag` is true and there is a database."""
+    return questions.withColumn("retrieve", F.coalesce(F.col(use_rag), F.lit(False)) & F.lit(database))
+
+
+def gated_context(questions: DataFrame, hits: DataFrame, use_rag: str = "use_rag", database: bool = True) -> DataFrame:
+    """(query_id, context, documents): like `context` for questions that retrieve, an empty context for the others."""
+    asked = gated(questions, use_rag, database)
+    found = context(hits, asked.where("retrieve").select("query_id"))
+    return asked.select("query_id").join(found, "query_id", "left").select("query_id", F.coalesce("context", F.lit("")).alias("context"), F.coalesce("documents", F.lit(0)).alias("documents"))
+
+
+def retrieval_answer(questions: DataFrame, hits: DataFrame, model=None) -> DataFrame:
+    """(query_id, prompt, answer) of questions(query_id, question) with all their hits put into one prompt."""
+    rows = questions.join(context(hits, questions), "query_id")
+    return answer(rows.select("query_id", prompt(F.lit(""), F.col("context"), F.col("question")).alias("prompt")), model)
+
+
+def compare_arms(one: DataFrame, other: DataFrame, names: tuple[str, str] = ("text_only", "graph_enhanced")) -> DataFrame:
+    """Two tables of metrics (query_id, score) side by side by query, with the difference; a query that one lacks has null there."""
+    left, right = (rows.select("query_id", F.col("score").alias(name)) for rows, name in zip((one, other), names))
+    return left.join(right, "query_id", "full").withColumn("gain", F.col(names[1]) - F.col(names[0]))
+
+
 def history(turns: DataFrame) -> DataFrame:
     """turns(conv_id, turn, role, text) with the earlier turns of the conversation as lines `role: text`."""
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
@@ -38,6 +62,11 @@ def token_json(token: Column) -> Column:
     return F.to_json(F.struct(F.lit("conversation").alias("type"), token.alias("data")))
 
 
+def error_frame(message: Column) -> Column:
+    """The frame that ends a stream which failed."""
+    return F.concat(F.lit("event: error\ndata: "), F.to_json(F.struct(message.alias("error"))), F.lit("\n\n"))
+
+
 def frames(conversation: Column, context_: Column, tokens: Column, title: Column) -> Column:
     """The event-stream frames of an answer in order: conversation id, context, one per token that is not empty, title, and the
     complete text; each ends with a blank line."""

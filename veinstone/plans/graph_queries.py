@@ -50,9 +50,9 @@ def relation_cycle_next(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_nodes_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes merged on label and name, with the last id, subtype and number of labels given."""
+    """Nodes merged on label and name, each property the last one given."""
     nodes = graph.merge_nodes(_entities(spark, sf_dir))
-    return nodes.select("label", "name", "id", "subtype", F.array_join("labels", ",").alias("labels"), F.array_join("variant_names", ",").alias("variant_names"))
+    return nodes.select("label", "name", "id", "subtype", F.array_join("labels", ",").alias("labels"), F.array_join("variant_names", ",").alias("variant_names"), F.array_join("times", ",").alias("times"), "properties")
 
 
 def _nodes(entities: DataFrame, relations: DataFrame) -> DataFrame:
@@ -213,7 +213,8 @@ ORACLES = {
     "constraint_fix_rows": f"{_CHECKED} SELECT relationship_key, report_id, relationship_type, source_type, target_type, pick AS fixed_type FROM checked WHERE status = 'fixed'",
     "relation_cycle_next": f"WITH legal(n, relation, s, t) AS (VALUES {_TRIPLES}) SELECT s AS source_type, t AS target_type, relation AS current, coalesce(lead(relation) OVER w, first_value(relation) OVER w) AS next_type FROM legal WINDOW w AS (PARTITION BY s, t ORDER BY n)",
     "graph_nodes_upsert": f"""WITH {_ENT} SELECT {_CAP} AS label, entity_name AS name, arg_max(entity_id, mention_id) AS id, arg_max(coalesce(entity_sub_type, ''), mention_id) AS subtype,
-  array_to_string(arg_max(entity_labels, mention_id) FILTER (WHERE entity_labels IS NOT NULL), ',') AS labels, array_to_string(arg_max(entity_variant_names, mention_id) FILTER (WHERE entity_variant_names IS NOT NULL), ',') AS variant_names
+  array_to_string(arg_max(entity_labels, mention_id) FILTER (WHERE entity_labels IS NOT NULL), ',') AS labels, array_to_string(arg_max(entity_variant_names, mention_id) FILTER (WHERE entity_variant_names IS NOT NULL), ',') AS variant_names,
+  array_to_string(arg_max(entity_times, mention_id) FILTER (WHERE entity_times IS NOT NULL), ',') AS times, CAST(to_json(arg_max(entity_properties, mention_id) FILTER (WHERE entity_properties IS NOT NULL)) AS VARCHAR) AS properties
   FROM ent WHERE entity_id IS NOT NULL AND entity_name IS NOT NULL AND entity_type IS NOT NULL GROUP BY ALL""",
     "graph_edges_upsert": f"{_GRAPH} SELECT * FROM edges",
     "graph_missing_endpoints": f"WITH {_ENT}, {_REL}, {_MISSING} SELECT 'Entity' AS label, name FROM missing",
@@ -224,6 +225,9 @@ ORACLES = {
   h AS (SELECT report_id, start, start AS node, 0 AS hops FROM s UNION SELECT s.report_id, s.start, e.dst, 1 FROM s JOIN e ON e.report_id = s.report_id AND e.src = s.start
     UNION SELECT s.report_id, s.start, f.dst, 2 FROM s JOIN e ON e.report_id = s.report_id AND e.src = s.start JOIN e f ON f.report_id = s.report_id AND f.src = e.dst)
   SELECT report_id, start, node, CAST(min(hops) AS BIGINT) AS hops FROM h GROUP BY ALL""",
+    "graph_components": f"""WITH RECURSIVE {_REL}, e AS (SELECT DISTINCT source_name AS a, target_name AS b FROM rel WHERE source_name IS NOT NULL AND target_name IS NOT NULL),
+  both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT a AS node, a AS seen FROM both_ways UNION SELECT r.node, w.b FROM reach r JOIN both_ways w ON w.a = r.seen)
+  SELECT node, min(seen) AS component FROM reach GROUP BY node""",
     "graph_degree": f"{_GRAPH}, d AS (SELECT source_label AS label, source_name AS name, 1 AS o, 0 AS i FROM edges UNION ALL SELECT target_label, target_name, 0, 1 FROM edges) SELECT label, name, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM d GROUP BY ALL",
     "xml_roundtrip_entities": f"""WITH {_ENT} SELECT report_id, row_number() OVER (PARTITION BY report_id ORDER BY mention_id) - 1 AS pos, nullif(entity_id, '') AS entity_id, nullif(entity_name, '') AS entity_name, nullif(entity_type, '') AS entity_type,
   nullif(entity_sub_type, '') AS sub_type, {_joined('entity_variant_names')} AS variants, {_joined('entity_labels')} AS labels, {_joined('entity_times')} AS times,

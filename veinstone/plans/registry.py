@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veinstone.plans import core_problems, graph_queries, repair_queries, text_queries
+from veinstone.plans import core_problems, graph_queries, io_queries, repair_queries, text_queries
 
-_MODULES = (core_problems, graph_queries, repair_queries, text_queries)
+_MODULES = (core_problems, graph_queries, io_queries, repair_queries, text_queries)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
 

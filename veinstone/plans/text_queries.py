@@ -64,10 +64,10 @@ def user_message_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _messages(spark, sf_dir).where("role = 'user'")
     wrap = lambda *cols: F.to_json(F.struct(*cols))
     inner = F.struct(F.col("content").alias("action_input"))
-    form = F.length("custom_id") % 5
+    form = F.length("content") % 6
     message = (
         F.when(form == 0, F.col("content")).when(form == 1, wrap(F.lit("ask").alias("action"), F.col("content").alias("action_input")))
-        .when(form == 2, wrap(inner.alias("data"))).when(form == 3, wrap(F.col("content").alias("data"))).otherwise(wrap(F.lit(1).alias("other")))
+        .when(form == 2, wrap(inner.alias("data"))).when(form == 3, wrap(F.col("content").alias("data"))).when(form == 4, wrap(F.lit(1).alias("other"))).otherwise(F.concat(F.lit('{"action": "ask", "action_input": '), "content"))
     )
     return rows.select("custom_id", F.md5(ft.user_question(message)).alias("question_md5"))
 
@@ -233,8 +233,8 @@ def knn_cosine_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approximate search in inverted lists, for the same queries."""
     queries, base = _vectors(spark, sf_dir)
-    centroids = vector.fit_centroids(base, 16)
-    return vector.search_lists(queries, vector.build_lists(base, centroids), centroids, 5, 10)
+    index, centroids = vector.load_or_build(base, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    return vector.search_lists(queries, index, centroids, 5, vector.fit_probe(base, index, centroids))
 
 
 def knn_ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,8 +246,13 @@ def knn_ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five diverse vectors of each query's twenty nearest."""
     queries, base = _vectors(spark, sf_dir)
-    near = stored(vector.top_k(queries, base, 20), "near").select("query_id", "id", "score")
-    return vector.diversify(near.join(base, "id"), 5)
+    return vector.retrieve(queries, base, 5, 20, None).withColumn("rank", F.col("rank").cast("bigint")).withColumn("score", F.round("score", 5))
+
+
+def mmr_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of neighbours with a score of 0.4 at least."""
+    queries, base = _vectors(spark, sf_dir)
+    return vector.retrieve(queries, base, 5, 20, 0.4).withColumn("rank", F.col("rank").cast("bigint")).withColumn("score", F.round("score", 5))
 
 
 def rag_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,7 +311,7 @@ QUERIES = {
     for f in (
         batch_request_jsonl, batch_request_validation, batch_result_parse, run_stats, user_message_parse, chat_history, conversation_title, sse_frames, token_stream_concat, session_get_or_create,
         manifest_delta, content_addressed_dedup, integrity_check, chunk_fixed_window, chunk_recursive, html_content, ioc_extract, kv_line_parse, sensor_log_rollup, ioc_list_scan, year_stats, ocr_routing, entity_extraction,
-        knn_ip, knn_l2, knn_cosine_threshold, knn_ivf, knn_ivf_recall, mmr, rag_context, retrieval_eval, dict_or_list_normalise, event_windows, event_windows_sliding, event_sessions, ingest_stream,
+        knn_ip, knn_l2, knn_cosine_threshold, knn_ivf, knn_ivf_recall, mmr, mmr_threshold, rag_context, retrieval_eval, dict_or_list_normalise, event_windows, event_windows_sliding, event_sessions, ingest_stream,
     )
 }
 
@@ -325,13 +330,25 @@ _IOC = " UNION ALL ".join(f"SELECT '{kind}' AS kind, unnest(regexp_extract_all(t
 _FOUND = " UNION ALL ".join(f"SELECT report_id, '{kind}' AS kind, unnest(regexp_extract_all(report_text, '{pattern}')) AS value FROM rpt WHERE report_text IS NOT NULL" for kind, pattern in ft.INDICATORS.items())
 _WINDOW = "SELECT {start} AS start, {start} + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n, round(sum(value), 6) AS total FROM {source} GROUP BY ALL"
 
+
+
+def _mmr(least: str) -> str:
+    """Five picks of the twenty nearest, one after the other."""
+    steps = [f"{_NEAR.format(score=_SCORE, where='')}, near AS (SELECT query_id, id, score FROM r WHERE rank <= 20 {least})"]
+    for n in range(1, 6):
+        gain = "score" if n == 1 else f"0.5 * score - 0.5 * (SELECT max(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) FROM ({' UNION ALL '.join(f'SELECT * FROM p{m}' for m in range(1, n))}) p JOIN embeddings a ON a.vec_id = p.id, embeddings b WHERE p.query_id = near.query_id AND b.vec_id = near.id)"
+        taken = "".join(f" AND NOT EXISTS (SELECT 1 FROM p{m} p WHERE p.query_id = near.query_id AND p.id = near.id)" for m in range(1, n))
+        steps.append(f"p{n} AS (SELECT DISTINCT ON (query_id) query_id, id, score FROM (SELECT *, round({gain}, 9) AS gain FROM near WHERE true{taken}) ORDER BY query_id, gain DESC, id)")
+    return ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT query_id, id, round(score, 5) AS score, CAST({n} AS BIGINT) AS rank FROM p{n}" for n in range(1, 6))
+
+
 ORACLES = {
     "batch_request_jsonl": f"""WITH {_RPT} SELECT concat_ws('_', coalesce(report_year, 0)::VARCHAR, coalesce(report_name, ''), left(sha256(report_id::VARCHAR), 8)) AS custom_id, 'POST' AS method,
   md5(replace('{TEMPLATE.replace(chr(10), "' || chr(10) || '")}', '{{input}}', report_text)) AS content_md5, CAST(4096 AS BIGINT) AS max_tokens FROM rpt WHERE trim(report_text, ' ') <> ''""",
     "batch_request_validation": f"WITH {_REQ}, v AS (SELECT list_filter(body.messages, lambda m: m.role = 'system')[1].content IS NOT NULL AS ok FROM req) SELECT count(*) AS total, count(*) FILTER (WHERE ok) AS valid, count(*) FILTER (WHERE NOT ok) AS invalid FROM v",
     "batch_result_parse": f"WITH {_STATUS} SELECT status, year, count(*) AS replies FROM fin GROUP BY ALL",
     "run_stats": f"WITH {_STATUS} SELECT count(*) AS total, count(*) FILTER (WHERE status = 'SUCCESS') AS succeeded, count(*) FILTER (WHERE status <> 'SUCCESS') AS failed, round(100.0 * count(*) FILTER (WHERE status = 'SUCCESS') / count(*), 2) AS success_rate FROM fin",
-    "user_message_parse": f"""WITH {_MSG} SELECT custom_id, md5(CASE WHEN length(custom_id) % 5 = 4 THEN '{{"other":1}}' ELSE m.content END) AS question_md5 FROM msg WHERE m.role = 'user'""",
+    "user_message_parse": f"""WITH {_MSG} SELECT custom_id, md5(CASE length(m.content) % 6 WHEN 4 THEN '{{"other":1}}' WHEN 5 THEN '{{"action": "ask", "action_input": ' || m.content ELSE m.content END) AS question_md5 FROM msg WHERE m.role = 'user'""",
     "chat_history": f"WITH {_TURN} SELECT conv_id, turn, md5(coalesce(string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')) AS history_md5 FROM turn",
     "conversation_title": f"WITH {_TURN} SELECT conv_id, turn, md5(CASE WHEN turn % 2 = 0 THEN coalesce(nullif(text, ''), CASE WHEN text IS NULL THEN '{{}}' ELSE '{{\"title\":\"\"}}' END) ELSE coalesce(nullif(trim(text, ' '), ''), conv_id) END) AS title_md5 FROM turn WHERE role = 'assistant'",
     "sse_frames": f"""WITH {_TURN}, k AS (SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda t: length(t) > 0) AS t FROM turn WHERE role = 'assistant' AND text IS NOT NULL)
@@ -344,6 +361,8 @@ ORACLES = {
     "integrity_check": "SELECT title IS NOT NULL AS ok, count(*) AS documents FROM documents WHERE text IS NOT NULL GROUP BY ALL",
     "chunk_fixed_window": """WITH d AS (SELECT doc_id, text, greatest(1, CAST(ceil((length(text) - 1000) / 2000.0) AS BIGINT)) AS n FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, text, unnest(range(n)) AS chunk_no FROM d)
   SELECT doc_id, chunk_no, CAST(length(substr(text, chunk_no * 2000 + 1, 3000)) AS BIGINT) AS size, md5(substr(text, chunk_no * 2000 + 1, 3000)) AS content_md5 FROM c""",
+    "ingest_stream": """WITH d AS (SELECT doc_id, text, greatest(1, CAST(ceil((length(text) - 1000) / 2000.0) AS BIGINT)) AS n FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, n, length(substr(text, unnest(range(n)) * 2000 + 1, 3000)) AS size FROM d)
+  SELECT doc_id, any_value(n) AS chunks, CAST(sum(size) AS BIGINT) AS characters FROM c GROUP BY doc_id""",
     "html_content": "SELECT doc_id, coalesce(title, '') AS title, md5(regexp_replace(coalesce(title, '') || text, '[\\s' || chr(160) || ']+', '', 'g')) AS content_md5 FROM documents WHERE text IS NOT NULL",
     "ioc_extract": f"SELECT kind, count(*) AS found, count(DISTINCT value) AS values FROM ({_IOC}) GROUP BY kind",
     "kv_line_parse": f"WITH {_LINES}, p AS (SELECT regexp_extract(value, '^\\s*([a-z]+)\\.([A-Za-z_]+):\\s*''(.*)''\\s*$', ['ns', 'key', 'item']) AS r FROM l) SELECT r.ns AS ns, r.key AS key, count(*) AS lines, count(DISTINCT nullif(r.item, '')) AS values FROM p WHERE r.ns <> '' GROUP BY ALL",
@@ -358,6 +377,8 @@ ORACLES = {
     "knn_ip": _NEAR.format(score=_SCORE, where="") + " SELECT query_id, id, round(score, 5) AS score, rank FROM r WHERE rank <= 5",
     "knn_l2": _NEAR.format(score=f"2 * {_SCORE} - list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) - list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])", where="") + " SELECT query_id, id, round(score, 5) + 0.0 AS score, rank FROM r WHERE rank <= 5",
     "knn_cosine_threshold": _NEAR.format(score="list_cosine_similarity(q.embedding::DOUBLE[], b.embedding::DOUBLE[])", where="WHERE score >= 0.3") + " SELECT query_id, id, round(score, 5) AS score, rank FROM r WHERE rank <= 5",
+    "mmr": _mmr(""),
+    "mmr_threshold": _mmr("AND score >= 0.4"),
     "rag_context": _NEAR.format(score=_SCORE, where="") + f""" SELECT query_id, md5('{rag.HEADER.replace(chr(10), "' || chr(10) || '")}' || string_agg('[文档' || rank || '] 来源: ' || coalesce(title, '{rag.UNKNOWN}') || chr(10) || '内容: ' || coalesce(text, '') || chr(10) || chr(10), '' ORDER BY rank)) AS context_md5, count(*) AS documents
   FROM r LEFT JOIN documents d ON d.doc_id = r.id WHERE rank <= 5 GROUP BY query_id""",
     "retrieval_eval": _NEAR.format(score=_SCORE, where="") + " SELECT count(*) AS pairs, count(*) FILTER (WHERE a.label = b.label) AS same_label FROM r JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = id WHERE rank <= 6 AND query_id <> id",

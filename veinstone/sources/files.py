@@ -1,8 +1,10 @@
-"""Readers of files: report trees, documents of many formats, line files, indicator lists, report graphs."""
+"""Readers of files: report trees, documents of many formats, line files, indicator lists, report graphs. Files without a byte give
+no row."""
 
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from xml.etree import ElementTree
 
@@ -72,6 +74,47 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(ft.base_name(F.col("path")).alias("source"), "kind", content.alias("page_content"))
 
 
+def json_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(source, seq, page_content) of all .json files below path: a document per element of an array, one for any other value, as JSON
+    text, a string as it is; a broken file gives none."""
+    rows = _binary(spark, path, "*.{json,JSON}").select(ft.base_name(F.col("path")).alias("source"), F.try_parse_json(F.decode("content", "UTF-8")).alias("v")).where("v is not null")
+    items = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
+    rows = rows.select("source", F.posexplode(items).alias("seq", "v"))
+    return rows.select("source", "seq", F.coalesce(F.when(F.schema_of_variant("v") == "STRING", F.try_variant_get("v", "$", "string")), F.to_json("v")).alias("page_content"))
+
+
+def pdf_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(source, year, page_content) of all .pdf files below path, pages in order; without a PDF reader the content is null."""
+    rows = _binary(spark, path, "*.{pdf,PDF}")
+    return rows.select(ft.base_name(F.col("path")).alias("source"), ft.scan_year(F.col("path")).alias("year"), _pdf("content").alias("page_content"))
+
+
+def template(spark: SparkSession, path: str) -> str:
+    """A prompt template; it must hold {input}."""
+    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    if "{input}" not in text:
+        raise ValueError(f"{path} has no {{input}}")
+    return text
+
+
+def settings(spark: SparkSession, path: str) -> dict[str, str]:
+    """Settings of a file of `key: value` or `KEY=value` lines; sections indent their keys, which are joined to them by dots. Lines that
+    are blank or begin with # say nothing; quotes around a value are dropped."""
+    out: dict[str, str] = {}
+    above: list[tuple[int, str]] = []
+    for line in (x for r in spark.read.text(path, wholetext=True).collect() for x in r[0].splitlines()):
+        match = re.match(r"^(\s*)(?:export\s+)?([\w.-]+)\s*[:=]\s*(.*?)\s*$", line)
+        if not match or line.lstrip().startswith("#"):
+            continue
+        depth, key, value = len(match[1]), match[2], re.sub(r"\s+#.*$", "", match[3])
+        above = [a for a in above if a[0] < depth]
+        if value:
+            out[".".join([*(k for _, k in above), key])] = value.strip("\"'")
+        else:
+            above.append((depth, key))
+    return out
+
+
 def name_list(spark: SparkSession, path: str) -> DataFrame:
     """(file) of a JSON array of names; a broken file gives none."""
     rows = spark.read.text(path, wholetext=True)

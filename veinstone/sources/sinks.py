@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +18,27 @@ def write_routed(graphs: DataFrame, path: str) -> None:
     graphs.where(F.col("status").isin("SUCCESS", "MISSING_RELATIONS")).write.partitionBy("status", "year").json(path, mode="overwrite")
 
 
+def write_each(rows: DataFrame, root: str, path: str = "path", text: str = "text") -> None:
+    """One UTF-8 file per row at root/<path>, written by the workers to a mounted folder; directories are made, null texts are empty
+    files. For few or outward files: tables are better kept as tables."""
+    base = root.removeprefix("file://")
+    if "://" in base:
+        raise ValueError("files of their own are written to mounted folders only")
+
+    def write(batches):
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["text"]):
+                target = Path(base, name)
+                target.parent.mkdir(parents=True, exist_ok=True)
+                target.write_text(content or "", encoding="utf-8", newline="")
+            yield batch[["path"]]
+
+    rows.select(F.col(path).alias("path"), F.col(text).alias("text")).mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
+
+
 def write_lines(lines: DataFrame, path: str, column: str = "value") -> None:
     """One JSON line per row."""
-    lines.select(F.col(column).alias("value")).write.text(path, mode="overwrite")
+    lines.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_stats(stats: DataFrame, path: str) -> None:

@@ -21,14 +21,22 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, schem
     return (writer.trigger(processingTime=poll) if poll else writer.trigger(availableNow=True)).start()
 
 
+def stop(query: StreamingQuery, wait: int = 2) -> bool:
+    """End a query and wait for it, at most `wait` seconds; whether it ended."""
+    query.stop()
+    return bool(query.awaitTermination(wait))
+
+
 def windows(events: DataFrame, kind: str = "tumbling", late: str = "10 minutes") -> DataFrame:
     """Counts and sums by event-time window and type: tumbling (1 hour), sliding (1 hour by 15 minutes), or session (30 minutes
     apart, by user). Works on streams, with a watermark, and on tables."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    plain = dict(events.dtypes)["ts"] == "timestamp_ntz"  # a watermark needs an instant; times without zone are the session's
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     of = {"tumbling": F.window("ts", "1 hour"), "sliding": F.window("ts", "1 hour", "15 minutes"), "session": F.session_window("ts", "30 minutes")}[kind]
     by = "user_id" if kind == "session" else "event_type"
     out = rows.groupBy(of.alias("w"), by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n", F.round("total", 6).alias("total"))
+    at = lambda c: F.col(f"w.{c}").cast("timestamp_ntz" if plain else "timestamp").alias(c)
+    return out.select(at("start"), at("end"), by, "n", F.round("total", 6).alias("total"))
 
 
 def token_answers(tokens: DataFrame) -> DataFrame:
