@@ -113,7 +113,7 @@ def _is_title(core: str, title: str, lead: bool) -> bool:
 
 _NUMBERED, _DOT, _STOP, _HEAD, _HEADING = re.compile(r"[\dIlO]"), re.compile(r"\d+\."), (".", ";", ","), re.compile(r"[A-Z0-9]"), re.compile(r"[A-Z0-9\"“(]")
 _OTHER = re.compile(r"\d|\W|[Ss]eite|[Pp]age")
-_HAS_DIGITS = re.compile(_DIGITS)
+_BETWEEN = re.compile(r"[|·•/–—-]|\s\s")
 
 
 def furniture(lines: list[str], title: str, source: str = "") -> dict[int, str]:
@@ -127,10 +127,10 @@ def furniture(lines: list[str], title: str, source: str = "") -> dict[int, str]:
         if not s:
             continue
         core = s
-        if _HAS_DIGITS.search(s):  # no page number is without
-            if _NUMBER.match(s) and _OTHER.search(s) and _NUMBERED.search(s) and not _DOT.fullmatch(s):
-                out[i] = "page_number"
-                continue
+        if _NUMBER.match(s) and _OTHER.search(s) and _NUMBERED.search(s) and not _DOT.fullmatch(s):
+            out[i] = "page_number"
+            continue
+        if _BETWEEN.search(s):  # a number in the line stands apart
             for pattern in _WITH_NUMBER:
                 core = pattern.sub("", core)
         if "TLP" in core or "tlp" in core.lower():
@@ -147,10 +147,10 @@ def furniture(lines: list[str], title: str, source: str = "") -> dict[int, str]:
             continue
         k = at[i]
         near = [solid[j] for j in (k - 1, k + 1) if 0 <= j < len(solid)]
-        names = [w for w in core.split() if w[0].isalpha()]
-        if 2 * sum(w[0].isupper() for w in names) < len(names):
-            continue  # running text has few capitals
         if any(out.get(j) == "page_number" for j in near) or core != lines[i].strip():
+            names = [w for w in core.split() if w[0].isalpha()]
+            if 2 * sum(w[0].isupper() for w in names) < len(names):
+                continue  # running text has few capitals
             beside[re.sub(r"[^a-z]", "", core.lower().replace("1", "l").replace("|", "l").replace("0", "o"))].append(i)
     for key, found in beside.items():
         if len(found) > 1 and len(key) >= 6:
@@ -445,16 +445,16 @@ def _places(marks: frozenset[int], weights: dict[str, float]):
                 for i, left, right in zip(broken, lefts, rights):
                     if left and right and right.lower() not in _OPEN:
                         rows.append((key, i, "hyphen", left, right, None))
-                words = list(zip(at, _split(cores), _split(cores.lower())))
-                for k, (i, core, low) in enumerate(words):
-                    if low not in seen:
+                shown, words = _split(cores), _split(cores.lower())
+                for k, low in enumerate(words):
+                    if (hit := seen.get(low)) is None:
                         if len(seen) > 200_000:
                             seen.clear()
-                        seen[low] = _mark(low) in marks
-                    if not seen[low]:
+                        hit = seen[low] = _mark(low) in marks
+                    if not hit:
                         continue
-                    nears.append([words[j][2] for j in range(max(0, k - WINDOW), min(len(words), k + WINDOW + 1)) if j != k])
-                    rows.append((key, i, "word", core, low, len(nears) - 1))
+                    nears.append([words[j] for j in range(max(0, k - WINDOW), min(len(words), k + WINDOW + 1)) if j != k])
+                    rows.append((key, at[k], "word", shown[k], low, len(nears) - 1))
             sums = _sums(nears, weights)
             rows = [(*r[:5], None if r[5] is None else sums[r[5]]) for r in rows]
             yield pd.DataFrame(rows, columns=["key", "line", "kind", "a", "b", "near"])
