@@ -18,11 +18,11 @@ def content_addressed(files: DataFrame, key: str, content: str, name: str | None
     return hashed.groupBy("hash").agg(F.min("k").alias("first_key"), F.count(F.lit(1)).alias("copies"), F.first("s").cast("bigint").alias("size"))
 
 
-def upsert(manifest: DataFrame, update: DataFrame, key: str, at: str) -> DataFrame:
-    """Both tables together, of equal keys the row that is last by `at`."""
-    both = manifest.unionByName(update)
-    rest = [c for c in both.columns if c != key]
-    return both.groupBy(key).agg(F.max_by(F.struct(*rest), at).alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
+def upsert(manifest: DataFrame, update: DataFrame, key: str | list[str], at: str) -> DataFrame:
+    """Both tables together, of equal keys the row that is last by `at`; of rows at the same time, any."""
+    both, keys = manifest.unionByName(update), [key] if isinstance(key, str) else key
+    rest = [c for c in both.columns if c not in keys]
+    return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), at).alias("r")).select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
 def verify(files: DataFrame, content: str, expected: str) -> DataFrame:

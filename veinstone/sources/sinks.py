@@ -75,19 +75,28 @@ def chunks_with_number(chunks: DataFrame, order: list[str]) -> DataFrame:
 
 
 def merge_table(spark: SparkSession, path: str, update: DataFrame, key: str | list[str], at: str) -> None:
-    """A Parquet table merged with an update by key; the last row by `at` holds. The new version is written beside the old one, the
-    old one renamed aside, the new one renamed in, and only then the old one deleted: at every moment one whole version is there,
-    and a merge that broke off between the renames is mended by the next one."""
+    """A Parquet table merged with an update by key; the last row by `at` holds. Replaced as `replace_table` does."""
     from veinstone.operators.ingest import upsert
 
-    jvm = spark.sparkContext._jvm
-    here, new, old = (jvm.org.apache.hadoop.fs.Path(f"{path}{end}") for end in ("", ".next", ".old"))
+    here, _, _, files = _places(spark, path)
+    replace_table(spark, path, upsert(spark.read.parquet(path), update, key, at) if files.exists(here) else update)
+
+
+def _places(spark: SparkSession, path: str):
+    """(table, new table, old table, file system); a replacement that broke off between its renames is mended."""
+    here, new, old = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}{end}") for end in ("", ".next", ".old"))
     files = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not files.exists(here) and files.exists(old):
         files.rename(old, here)
-    rows = upsert(spark.read.parquet(path), update, key, at) if files.exists(here) else update
+    return here, new, old, files
+
+
+def replace_table(spark: SparkSession, path: str, rows: DataFrame) -> None:
+    """Write a Parquet table in place of another, from which rows may come. The new version is written beside the old one, the old
+    one renamed aside, the new one renamed in, and only then the old one deleted: at every moment one whole version is there."""
+    here, new, old, files = _places(spark, path)
     rows.write.parquet(f"{path}.next", mode="overwrite")
     files.delete(old, True)
     if files.exists(here) and not files.rename(here, old) or not files.rename(new, here):
-        raise OSError(f"{path} could not be renamed; the merged rows are at {path}.next")
+        raise OSError(f"{path} could not be renamed; the new rows are at {path}.next")
     files.delete(old, True)
