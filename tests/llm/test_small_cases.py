@@ -453,6 +453,8 @@ def test_pack_tables(spark):
             used[r.container] = used.get(r.container, 0) + r["size"]
     assert sorted(used.values()) == [10, 10, 10, 10, 10, 10] and sum(r.container is None for r in rows) == 2 and sum(r.doc_id == 5 for r in rows) == 3
     assert pack.pack(df.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="capacity"):
+        pack.pack(df, capacity=pack.MOST_CAPACITY + 1)
 
 
 RESIDUE = [

@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 
 from veinstone.session import cut
 
+#: Largest capacity: the plan, which the driver makes and all tasks get, has a few rows for each size up to it.
+MOST_CAPACITY = 1 << 16
+
 #: One interval of the plan: ranks [first, first + count) of `size` go to containers `container + (rank - first) // per`.
 Interval = tuple[int, int, int, int, int]
 
@@ -89,8 +92,11 @@ def pack(sized: DataFrame, key: str = "doc_id", size: str = "tokens", capacity:
     """(key, piece_no, start, size, container): every piece's container, numbered from 0.
 
     sized: one row per item. Null sizes and sizes below 1 take no space: one row with piece 0, size 0 and a null container. Ties
-    are resolved by key; an empty table gives an empty result.
+    are resolved by key; an empty table gives an empty result; a capacity above MOST_CAPACITY is refused, since sizes would no longer
+    be few.
     """
+    if not 1 <= capacity <= MOST_CAPACITY:
+        raise ValueError(f"capacity must be from 1 to {MOST_CAPACITY}")
     spark = sized.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     sized = sized.select(F.col(key).alias("_key"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("_size"))

@@ -66,22 +66,20 @@ def p5_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.repair_scans(_reports(spark, sf_dir))
 
 
-def _cut_reports(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
-    prepare(spark)
-    reports = once(table(spark, sf_dir, "reports", "report_id", "report_text").where("report_text is not null"), "report_id")
-    return split.split_texts(reports, "report_id", "report_text", 3000, 1000, with_text)
-
-
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every report cut into more than one piece, forced if any of its cuts found no boundary."""
-    cuts = _cut_reports(spark, sf_dir, False).where("cut <> 'end'")
+    prepare(spark)
+    long = table(spark, sf_dir, "reports", "report_id", "report_text").where(F.length("report_text") > 3000)  # shorter ones have no cut; repeats fall together below
+    cuts = split.split_texts(long, "report_id", "report_text", 3000, 1000, False).where("cut <> 'end'")
     forced = F.max(F.when(F.col("cut") == "forced", "forced").otherwise("boundary"))
     return cuts.groupBy("report_id").agg(forced.alias("cut"))
 
 
 def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all reports with their texts."""
-    return _cut_reports(spark, sf_dir, True)
+    prepare(spark)
+    reports = once(table(spark, sf_dir, "reports", "report_id", "report_text").where("report_text is not null"), "report_id")
+    return split.split_texts(reports, "report_id", "report_text", 3000, 1000, True)
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,7 +55,7 @@ NARROWEST = 16
 _EDGE = ".,;:?!()[]{}\"“”„«»'’‘…—–*<>"
 _INDICATOR = re.compile(r"[/\\_]|\w\.\w|^(?=.*\d)[0-9a-fA-F]{6,}$|^cve-|^ta\d{4}$|^[\d.,:%+-]+$|@.*\.|^h[tx]{2}p|#", re.I)
 _OPEN = frozenset("and or und oder et ou y o e u sowie bis to as nor".split())
-_DIGITS = r"[\dIlOoSZB|]{1,5}"
+_DIGITS = r"[0-9IlOoSZB|]{1,5}"
 _NUMBER = re.compile(rf"(?i:^\W*(?:(?:page|pag|pg|p|seite|s|página|pág|第)\.?\s*)?)(?-i:{_DIGITS})(?i:\s*(?:of|/|von|de|sur|out of)\s*(?-i:{_DIGITS}))?\s*页?\W*$")
 _WITH_NUMBER = [re.compile(rf"^\W*{_DIGITS}\s*(?:[|·•/–—-]|\s{{2,}})\s*(?=\S*[A-Za-z])"), re.compile(rf"\s*(?:[|·•/–—-]|\s{{2,}})\s*(?i:(?:page|seite|p\.|pág\.|página)\s*)?{_DIGITS}(?:\s*(?:of|/|von|de)\s*{_DIGITS})?\W*$")]
 _MARKING = re.compile(r"\s*[–—|-]\s*TLP\s*:?\s*\w+\W*$", re.I)
@@ -113,7 +113,8 @@ def _is_title(core: str, title: str, lead: bool) -> bool:
 
 _NUMBERED, _DOT, _STOP, _HEAD, _HEADING = re.compile(r"[\dIlO]"), re.compile(r"\d+\."), (".", ";", ","), re.compile(r"[A-Z0-9]"), re.compile(r"[A-Z0-9\"“(]")
 _OTHER = re.compile(r"\d|\W|[Ss]eite|[Pp]age")
-_BETWEEN = re.compile(r"[|·•/–—-]|\s\s")
+_SHOWN = frozenset("0123456789IlOoSZB|")
+_WORD_OR_BAR = frozenset("_|")
 
 
 def furniture(lines: list[str], title: str, source: str = "") -> dict[int, str]:
@@ -122,32 +123,32 @@ def furniture(lines: list[str], title: str, source: str = "") -> dict[int, str]:
     out: dict[int, str] = {}
     cores: dict[int, str] = {}
     named, sourced = _Title(title), _Title(source)
-    for i, line in enumerate(lines):
-        s = line.strip()
+    stripped = [x.strip() for x in lines]
+    marked = any("tlp" in s.lower() for s in stripped)
+    for i, s in enumerate(stripped):
         if not s:
             continue
         core = s
-        if _NUMBER.match(s) and _OTHER.search(s) and _NUMBERED.search(s) and not _DOT.fullmatch(s):
-            out[i] = "page_number"
-            continue
-        if _BETWEEN.search(s):  # a number in the line stands apart
-            for pattern in _WITH_NUMBER:
-                core = pattern.sub("", core)
-        if "TLP" in core or "tlp" in core.lower():
+        ends = s[-1] if s[-1].isalnum() else next((ch for ch in reversed(s) if ch in _WORD_OR_BAR or ch.isalnum()), "")
+        if ends in _SHOWN or ends == "页":  # no line with a page number at its end ends else
+            if _NUMBER.match(s) and _OTHER.search(s) and _NUMBERED.search(s) and not _DOT.fullmatch(s):
+                out[i] = "page_number"
+                continue
+        if (s[0] if s[0].isalnum() else next((ch for ch in s if ch in _WORD_OR_BAR or ch.isalnum()), "")) in _SHOWN:
+            core = _WITH_NUMBER[0].sub("", core)
+        if ends in _SHOWN:
+            core = _WITH_NUMBER[1].sub("", core)
+        if marked:
             core = _MARKING.sub("", core)
         cores[i] = core
         if not s.endswith(_STOP) and (named.ends(core, False) or _HEAD.match(core) and sourced.ends(core, True)):
             out[i] = "header"
     # Lines beside a page number, or first or last, that come again: a running line whose title is not known.
     beside: dict[str, list[int]] = defaultdict(list)
-    solid = [i for i, x in enumerate(lines) if x.strip()]
-    at = {i: k for k, i in enumerate(solid)}
+    solid = [i for i, s in enumerate(stripped) if s]
+    by_number = {i for a, b in zip(solid, solid[1:]) for i, j in ((a, b), (b, a)) if out.get(j) == "page_number"}
     for i, core in cores.items():
-        if i in out or core.endswith(_STOP) or not _HEADING.match(core):
-            continue
-        k = at[i]
-        near = [solid[j] for j in (k - 1, k + 1) if 0 <= j < len(solid)]
-        if any(out.get(j) == "page_number" for j in near) or core != lines[i].strip():
+        if (i in by_number or core != stripped[i]) and i not in out and not core.endswith(_STOP) and _HEADING.match(core):
             names = [w for w in core.split() if w[0].isalpha()]
             if 2 * sum(w[0].isupper() for w in names) < len(names):
                 continue  # running text has few capitals
@@ -206,22 +207,23 @@ def _sums(nears: list[list[str]], weights: dict[str, float]) -> list[list[float]
     return out.tolist()
 
 
-#: A word without surrounding punctuation.
-_CORE = re.compile(rf"[^\s{re.escape(_EDGE)}](?:\S*[^\s{re.escape(_EDGE)}])?")
+def _cores(words: list[str]) -> list[str]:
+    """Words without surrounding punctuation."""
+    return [core for w in words if (core := w.strip(_EDGE))]
 
 
-def _words(lines: list[str], gone: dict[int, str], ends: list[tuple[int, int]]) -> list[tuple[int, str]]:
-    """(line, core) of each word of running text, in order; broken words are left out."""
+def _words(lines: list[str], gone: dict[int, str], ends: list[tuple[int, int]]) -> tuple[list[int], list[str]]:
+    """(lines, words) of running text, in order; broken words are left out."""
     last, first = {i for i, _ in ends}, {j for _, j in ends}
-    out = []
+    at: list[int] = []
+    words: list[str] = []
     for i, line in enumerate(lines):
-        if i in gone:
-            continue
-        if i in last or i in first:
+        if i not in gone:
             parts = line.split()
-            line = " ".join(parts[i in first : len(parts) - (i in last)])
-        out += [(i, core) for core in _CORE.findall(line)]
-    return out
+            found = _cores(parts[i in first : len(parts) - (i in last)])
+            words += found
+            at += [i] * len(found)
+    return at, words
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,11 +233,11 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, text, title, source in zip(batch["key"], batch["text"], batch["title"], batch["source"]):
             lines, scanned, gone, ends = body(text, title, source)
             if not scanned:
-                rows.append((key, False, [], [], [], [], [], [], " ".join(_CORE.findall(text))))
+                rows.append((key, False, [], [], [], [], [], [], " ".join(_cores(text.split()))))
                 continue
-            words = _words(lines, gone, ends)
+            at, words = _words(lines, gone, ends)
             parts = [(i, *_break(lines, i, j)) for i, j in ends]
-            rows.append((key, scanned, list(gone), list(gone.values()), [i for i, _, _ in parts], [a for _, a, _ in parts], [b for _, _, b in parts], [i for i, _ in words], " ".join(c for _, c in words)))
+            rows.append((key, scanned, list(gone), list(gone.values()), [i for i, _, _ in parts], [a for _, a, _ in parts], [b for _, _, b in parts], at, " ".join(words)))
         yield pd.DataFrame(rows, columns=["key", "scanned", "gone", "kinds", "broken", "left", "right", "at", "cores"])
 
 
@@ -348,6 +350,11 @@ def read_texts(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(_read, "key bigint, scanned boolean, gone array<int>, kinds array<string>, broken array<int>, left array<string>, right array<string>, at array<int>, cores string")
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for names, flat, _ in _lots(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.bincount(flat, minlength=len(names)).astype(np.int64))], names=["word", "n"])
+
+
 def _wordlike_only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         yield batch[batch["word"].map(_wordlike).astype(bool)]
@@ -355,7 +362,8 @@ def _wordlike_only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def count_words(texts: DataFrame) -> DataFrame:
     """(word, n) of every word of texts that were read."""
-    counts = texts.where("cores <> ''").select(F.explode(F.split(F.lower("cores"), " ")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    partial = texts.where("cores <> ''").select("cores").mapInArrow(_count, "word string, n bigint")
+    counts = partial.groupBy("word").agg(F.sum("n").alias("n"))
     return counts.mapInPandas(_wordlike_only, "word string, n bigint")
 
 
