@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from veinstone.llm.name_forms import NICKNAMES, distance, parse
 from veinstone.operators.components import connected_components
 from veinstone.operators.skew import BLOCK_ROWS, join_hot, pairs_within
-from veinstone.session import checked_broadcast, stored
+from veinstone.session import BROADCAST_ROWS, stored
 
 #: Edits allowed between keys, by the length of the shorter: below 4 letters none, below 6 one.
 EDITS = 2
@@ -92,8 +92,10 @@ def near_keys(keys: DataFrame) -> DataFrame:
     at = ["sub", "block", "length", "n", "text"]
     keys = keys.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")  # few rows become very many
     index = _index(keys)
-    hot = index.groupBy(*at).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BLOCK_ROWS)
-    hot = checked_broadcast(stored(hot.select(*at, F.ceil(F.col("_n") / BLOCK_ROWS).cast("int").alias("_cuts")), "hot"))
+    # A share of the index entries above which there can be no more hot segments than may be broadcast.
+    most = max(BLOCK_ROWS, keys.count() * (EDITS + 1) // BROADCAST_ROWS)
+    hot = index.groupBy(*at).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
+    hot = F.broadcast(stored(hot.select(*at, F.ceil(F.col("_n") / BLOCK_ROWS).cast("int").alias("_cuts")), "hot"))
     cuts = F.coalesce("_cuts", F.lit(1))
     index = index.join(hot, at, "left").withColumn("_cut", F.pmod(F.xxhash64("key_a"), cuts).cast("int")).drop("_cuts")
     probes = _probes(keys).join(hot, at, "left").withColumn("_cut", F.explode(F.sequence(F.lit(0), cuts - 1))).drop("_cuts")

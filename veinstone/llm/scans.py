@@ -11,7 +11,7 @@ the place's own neighbours is taken. Then furniture goes and the text is reflowe
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,6 +54,7 @@ NARROWEST = 16
 
 _EDGE = ".,;:?!()[]{}\"“”„«»'’‘…—–*<>"
 _INDICATOR = re.compile(r"[/\\_]|\w\.\w|^(?=.*\d)[0-9a-fA-F]{6,}$|^cve-|^ta\d{4}$|^[\d.,:%+-]+$|@.*\.|^h[tx]{2}p|#", re.I)
+_SCHEME = re.compile("h[tx]{2}p", re.I)
 _OPEN = frozenset("and or und oder et ou y o e u sowie bis to as nor".split())
 _DIGITS = r"[0-9IlOoSZB|]{1,5}"
 _NUMBER = re.compile(rf"(?i:^\W*(?:(?:page|pag|pg|p|seite|s|página|pág|第)\.?\s*)?)(?-i:{_DIGITS})(?i:\s*(?:of|/|von|de|sur|out of)\s*(?-i:{_DIGITS}))?\s*页?\W*$")
@@ -164,6 +165,8 @@ def _core(token: str) -> str:
 
 
 def _wordlike(core: str) -> bool:
+    if core.isalpha() and core.isascii():  # letters only: an indicator just as the beginning of an address
+        return len(core) >= 2 and not _SCHEME.match(core)
     letters = sum(ch.isalpha() for ch in core)
     return len(core) >= 2 and letters >= 0.5 * len(core) and letters >= 1 and not _INDICATOR.search(core) and not re.search(r"[㐀-鿿]", core)
 
@@ -226,19 +229,42 @@ def _words(lines: list[str], gone: dict[int, str], ends: list[tuple[int, int]])
     return at, words
 
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each text read once: its furniture, its words broken in two, and its words of running text, if scanned with their lines."""
+_READ = pa.schema(
+    [("key", pa.int64()), ("scanned", pa.bool_()), ("gone", pa.list_(pa.int32())), ("kinds", pa.list_(pa.string())), ("broken", pa.list_(pa.int32())), ("left", pa.list_(pa.string())), ("right", pa.list_(pa.string())), ("at", pa.list_(pa.int32())), ("cores", pa.string()), ("word", pa.string()), ("n", pa.int64())]
+)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text read once: its furniture, its words broken in two, and its words of running text, if scanned with their lines;
+    then, in rows of their own, how often each word came in a task's texts."""
+    counts: Counter[str] = Counter()
+
+    def counted() -> pa.RecordBatch:
+        found = {w: n for w, n in counts.items() if _wordlike(w)}
+        none = [pa.nulls(len(found), t) for t in _READ.types[:-2]]
+        return pa.RecordBatch.from_arrays([*none, pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], schema=_READ)
+
     for batch in batches:
         rows = []
-        for key, text, title, source in zip(batch["key"], batch["text"], batch["title"], batch["source"]):
+        for key, text, title, source in zip(*(c.to_pylist() for c in batch.columns)):
             lines, scanned, gone, ends = body(text, title, source)
             if not scanned:
-                rows.append((key, False, [], [], [], [], [], [], " ".join(_cores(text.split()))))
-                continue
-            at, words = _words(lines, gone, ends)
-            parts = [(i, *_break(lines, i, j)) for i, j in ends]
-            rows.append((key, scanned, list(gone), list(gone.values()), [i for i, _, _ in parts], [a for _, a, _ in parts], [b for _, _, b in parts], at, " ".join(words)))
-        yield pd.DataFrame(rows, columns=["key", "scanned", "gone", "kinds", "broken", "left", "right", "at", "cores"])
+                cores = " ".join(_cores(text.split()))
+                rows.append((key, False, None, None, None, None, None, None, cores))
+            else:
+                at, words = _words(lines, gone, ends)
+                parts = [(i, *_break(lines, i, j)) for i, j in ends]
+                cores = " ".join(words)
+                rows.append((key, True, list(gone), list(gone.values()), [i for i, _, _ in parts], [a for _, a, _ in parts], [b for _, _, b in parts], at, cores))
+            counts.update(_split(cores.lower()))
+        if rows:
+            none = [pa.nulls(len(rows), t) for t in _READ.types[-2:]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows), _READ.types)), *none], schema=_READ)
+        if len(counts) > AT_ONCE:
+            yield counted()
+            counts.clear()
+    if counts:
+        yield counted()
 
 
 def _split(cores: str) -> list[str]:
@@ -346,25 +372,15 @@ def _cosine(a: str, b: str) -> Column:
 
 
 def read_texts(texts: DataFrame) -> DataFrame:
-    """texts(key, text, title, source) as `_read` gives them."""
-    return texts.mapInPandas(_read, "key bigint, scanned boolean, gone array<int>, kinds array<string>, broken array<int>, left array<string>, right array<string>, at array<int>, cores string")
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for names, flat, _ in _lots(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.bincount(flat, minlength=len(names)).astype(np.int64))], names=["word", "n"])
-
-
-def _wordlike_only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield batch[batch["word"].map(_wordlike).astype(bool)]
+    """texts(key, text, title, source) as `_read` gives them, with the rows that count words."""
+    return texts.select("key", "text", "title", "source").mapInArrow(
+        _read, "key bigint, scanned boolean, gone array<int>, kinds array<string>, broken array<int>, left array<string>, right array<string>, at array<int>, cores string, word string, n bigint"
+    )
 
 
 def count_words(texts: DataFrame) -> DataFrame:
     """(word, n) of every word of texts that were read."""
-    partial = texts.where("cores <> ''").select("cores").mapInArrow(_count, "word string, n bigint")
-    counts = partial.groupBy("word").agg(F.sum("n").alias("n"))
-    return counts.mapInPandas(_wordlike_only, "word string, n bigint")
+    return texts.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def learn_vectors(texts: DataFrame, marks: frozenset[int], weights: dict[str, float]) -> DataFrame:
@@ -454,15 +470,14 @@ def _places(marks: frozenset[int], weights: dict[str, float]):
                     if left and right and right.lower() not in _OPEN:
                         rows.append((key, i, "hyphen", left, right, None))
                 shown, words = _split(cores), _split(cores.lower())
-                for k, low in enumerate(words):
-                    if (hit := seen.get(low)) is None:
-                        if len(seen) > 200_000:
-                            seen.clear()
-                        hit = seen[low] = _mark(low) in marks
-                    if not hit:
-                        continue
+                if len(seen) > 200_000:
+                    seen.clear()
+                for low in set(words):
+                    if low not in seen:
+                        seen[low] = _mark(low) in marks
+                for k in [k for k, low in enumerate(words) if seen[low]]:
                     nears.append([words[j] for j in range(max(0, k - WINDOW), min(len(words), k + WINDOW + 1)) if j != k])
-                    rows.append((key, at[k], "word", shown[k], low, len(nears) - 1))
+                    rows.append((key, at[k], "word", shown[k], words[k], len(nears) - 1))
             sums = _sums(nears, weights)
             rows = [(*r[:5], None if r[5] is None else sums[r[5]]) for r in rows]
             yield pd.DataFrame(rows, columns=["key", "line", "kind", "a", "b", "near"])
