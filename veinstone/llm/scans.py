@@ -54,6 +54,8 @@ NARROWEST = 16
 
 _EDGE = ".,;:?!()[]{}\"“”„«»'’‘…—–*<>"
 _INDICATOR = re.compile(r"[/\\_]|\w\.\w|^(?=.*\d)[0-9a-fA-F]{6,}$|^cve-|^ta\d{4}$|^[\d.,:%+-]+$|@.*\.|^h[tx]{2}p|#", re.I)
+_HYPHENS, _BROKEN, _STARTS = frozenset("-‐\u00ad¬"), re.compile("\\w[-‐\u00ad¬]\\s*$"), re.compile(r"\s*\w")
+_HAN = re.compile("[㐀-鿿]")
 _SCHEME = re.compile("h[tx]{2}p", re.I)
 _OPEN = frozenset("and or und oder et ou y o e u sowie bis to as nor".split())
 _DIGITS = r"[0-9IlOoSZB|]{1,5}"
@@ -99,7 +101,12 @@ class _Title:
             return False
         core = core.lower().strip()
         tail = core[-size - 2 :]
-        if len(core) < size - 3 or not any(piece in tail for piece in self.pieces):
+        if len(core) < size - 3:
+            return False
+        for piece in self.pieces:
+            if piece in tail:
+                break
+        else:
             return False
         for n in range(size - 2, size + 3):
             rest = core[: max(0, len(core) - n)]
@@ -160,15 +167,13 @@ def furniture(lines: list[str], title: str, source: str = "") -> dict[int, str]:
     return out
 
 
-def _core(token: str) -> str:
-    return token.strip(_EDGE)
-
-
 def _wordlike(core: str) -> bool:
     if core.isalpha() and core.isascii():  # letters only: an indicator just as the beginning of an address
         return len(core) >= 2 and not _SCHEME.match(core)
-    letters = sum(ch.isalpha() for ch in core)
-    return len(core) >= 2 and letters >= 0.5 * len(core) and letters >= 1 and not _INDICATOR.search(core) and not re.search(r"[㐀-鿿]", core)
+    if len(core) < 2 or _INDICATOR.search(core) or _HAN.search(core):
+        return False
+    letters = sum(map(str.isalpha, core))
+    return letters >= 0.5 * len(core) and letters >= 1
 
 
 def _impossible(word: str) -> bool:
@@ -183,7 +188,7 @@ def body(text: str, title: str, source: str) -> tuple[list[str], bool, dict[int,
         return lines, False, {}, []
     gone = furniture(lines, title, source)
     running = [i for i, x in enumerate(lines) if x.strip() and i not in gone]
-    ends = [(i, j) for i, j in zip(running, running[1:]) if re.search(r"\w[-‐­¬]\s*$", lines[i]) and re.match(r"\s*\w", lines[j])]
+    ends = [(i, j) for i, j in zip(running, running[1:]) if lines[i].rstrip()[-1] in _HYPHENS and _BROKEN.search(lines[i]) and _STARTS.match(lines[j])]
     return lines, True, gone, ends
 
 
@@ -198,7 +203,7 @@ def _signs(words: list[str], weights: dict[str, float]) -> np.ndarray:
     return (np.unpackbits(bits, axis=1).astype(np.float32) * 2 - 1) * np.array([weights.get(w, 1.0) for w in words], np.float32)[:, None]
 
 
-def _sums(nears: list[list[str]], weights: dict[str, float]) -> list[list[float]]:
+def _sums(nears: list[list[str]], weights: dict[str, float]) -> np.ndarray:
     """The sum of the weighted signs of each list of words."""
     ids: dict[str, int] = {}
     flat = np.array([ids.setdefault(w, len(ids)) for words in nears for w in words], np.int64)
@@ -207,31 +212,66 @@ def _sums(nears: list[list[str]], weights: dict[str, float]) -> list[list[float]
     if len(some):
         starts = np.cumsum([0, *(len(nears[n]) for n in some[:-1])])
         out[some] = np.add.reduceat(_signs(list(ids), weights)[flat].astype(np.float64), starts, axis=0)
-    return out.tolist()
+    return out
 
 
-def _cores(words: list[str]) -> list[str]:
-    """Words without surrounding punctuation."""
-    return [core for w in words if (core := w.strip(_EDGE))]
+#: Characters of the texts that are taken apart at a time.
+CHARACTERS = 8_000_000
+_READ = pa.schema(
+    [("key", pa.int64()), ("scanned", pa.bool_()), ("gone", pa.list_(pa.int32())), ("kinds", pa.list_(pa.string())), ("broken", pa.list_(pa.int32())), ("left", pa.list_(pa.string())), ("right", pa.list_(pa.string())), ("at", pa.list_(pa.int32())), ("cores", pa.string()), ("word", pa.string()), ("n", pa.int64())]
+)
 
 
-def _words(lines: list[str], gone: dict[int, str], ends: list[tuple[int, int]]) -> tuple[list[int], list[str]]:
-    """(lines, words) of running text, in order; broken words are left out."""
+def _running(lines: list[str], gone: dict[int, str], ends: list[tuple[int, int]]) -> Iterator[tuple[int, str]]:
+    """(number, line) of the lines of running text, without the parts of broken words."""
     last, first = {i for i, _ in ends}, {j for _, j in ends}
-    at: list[int] = []
-    words: list[str] = []
     for i, line in enumerate(lines):
-        if i not in gone:
+        if i in gone:
+            continue
+        if i in last or i in first:
             parts = line.split()
-            found = _cores(parts[i in first : len(parts) - (i in last)])
-            words += found
-            at += [i] * len(found)
-    return at, words
-
-
-_READ = pa.schema(
-    [("key", pa.int64()), ("scanned", pa.bool_()), ("gone", pa.list_(pa.int32())), ("kinds", pa.list_(pa.string())), ("broken", pa.list_(pa.int32())), ("left", pa.list_(pa.string())), ("right", pa.list_(pa.string())), ("at", pa.list_(pa.int32())), ("cores", pa.string()), ("word", pa.string()), ("n", pa.int64())]
-)
+            line = " ".join(parts[i in first : len(parts) - (i in last)])
+        yield i, line
+
+
+def _words_of(pieces: list[str]) -> tuple[np.ndarray, pa.Array]:
+    """(number of the piece, word) of each word of pieces of text, without surrounding punctuation."""
+    words = pc.utf8_split_whitespace(pa.array(pieces, pa.string()))
+    of, cores = pc.list_parent_indices(words), pc.utf8_trim(words.flatten(), characters=_EDGE)
+    kept = pc.not_equal(cores, "")
+    return of.filter(kept).to_numpy(), cores.filter(kept)
+
+
+def _lists(of: np.ndarray, values: pa.Array, many: int) -> pa.ListArray:
+    """Values as one list for each of `many` owners, in order."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=many))]).astype(np.int32)), values)
+
+
+def _taken_apart(rows: list[tuple], counts: Counter[str]) -> pa.RecordBatch:
+    """Texts (key, text, title, source) as `_READ` has them; their words are added to the counts."""
+    heads, pieces, owner, number = [], [], [], []
+    for n, (key, text, title, source) in enumerate(rows):
+        lines, scanned, gone, ends = body(text, title, source)
+        if scanned:
+            parts = [(i, *_break(lines, i, j)) for i, j in ends]
+            heads.append((key, True, list(gone), list(gone.values()), [i for i, _, _ in parts], [a for _, a, _ in parts], [b for _, _, b in parts]))
+            for i, line in _running(lines, gone, ends):
+                pieces.append(line)
+                owner.append(n)
+                number.append(i)
+        else:
+            heads.append((key, False, None, None, None, None, None))
+            pieces.append(text)
+            owner.append(n)
+            number.append(-1)
+    of, cores = _words_of(pieces)
+    for found in pc.value_counts(pc.utf8_lower(cores)).to_pylist():
+        counts[found["values"]] += found["counts"]
+    texts, at = np.array(owner, np.int64)[of], np.array(number, np.int32)[of]
+    scanned = at >= 0
+    columns = [pa.array(c, t) for c, t in zip(zip(*heads), _READ.types)]
+    columns += [_lists(texts[scanned], pa.array(at[scanned]), len(rows)), pc.binary_join(_lists(texts, cores, len(rows)), " ")]
+    return pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(rows), t) for t in _READ.types[-2:])], schema=_READ)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,21 +285,15 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([*none, pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], schema=_READ)
 
     for batch in batches:
-        rows = []
-        for key, text, title, source in zip(*(c.to_pylist() for c in batch.columns)):
-            lines, scanned, gone, ends = body(text, title, source)
-            if not scanned:
-                cores = " ".join(_cores(text.split()))
-                rows.append((key, False, None, None, None, None, None, None, cores))
-            else:
-                at, words = _words(lines, gone, ends)
-                parts = [(i, *_break(lines, i, j)) for i, j in ends]
-                cores = " ".join(words)
-                rows.append((key, True, list(gone), list(gone.values()), [i for i, _, _ in parts], [a for _, a, _ in parts], [b for _, _, b in parts], at, cores))
-            counts.update(_split(cores.lower()))
-        if rows:
-            none = [pa.nulls(len(rows), t) for t in _READ.types[-2:]]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows), _READ.types)), *none], schema=_READ)
+        held, size = [], 0
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            held.append(row)
+            size += len(row[1])
+            if size > CHARACTERS:
+                yield _taken_apart(held, counts)
+                held, size = [], 0
+        if held:
+            yield _taken_apart(held, counts)
         if len(counts) > AT_ONCE:
             yield counted()
             counts.clear()
@@ -456,31 +490,38 @@ def link_words(words: DataFrame, texts: DataFrame) -> DataFrame:
     return sure.unionByName(doubt.drop("n", "alike").join(spoken.select("word", "fixed"), ["word", "fixed"], "left_semi"))
 
 
+_PLACES = pa.schema([("key", pa.int64()), ("line", pa.int32()), ("kind", pa.string()), ("a", pa.string()), ("b", pa.string()), ("near", pa.list_(pa.float64()))])
+
+
 def _places(marks: frozenset[int], weights: dict[str, float]):
     """The furniture and breaks of scanned texts, and the places of marked words with what their neighbours sum to."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, bool] = {}
         for batch in batches:
             rows: list[tuple] = []
+            words: list[tuple] = []
             nears: list[list[str]] = []
-            for key, gone, kinds, broken, lefts, rights, at, cores in batch[["key", "gone", "kinds", "broken", "left", "right", "at", "cores"]].itertuples(index=False):
-                rows += [(key, i, kind, "", "", None) for i, kind in zip(gone, kinds)]
+            for key, gone, kinds, broken, lefts, rights, at, cores in zip(*(c.to_pylist() for c in batch.columns)):
+                rows += [(key, i, kind, "", "") for i, kind in zip(gone, kinds)]
                 for i, left, right in zip(broken, lefts, rights):
                     if left and right and right.lower() not in _OPEN:
-                        rows.append((key, i, "hyphen", left, right, None))
-                shown, words = _split(cores), _split(cores.lower())
+                        rows.append((key, i, "hyphen", left, right))
+                shown, lows = _split(cores), _split(cores.lower())
                 if len(seen) > 200_000:
                     seen.clear()
-                for low in set(words):
+                for low in set(lows):
                     if low not in seen:
                         seen[low] = _mark(low) in marks
-                for k in [k for k, low in enumerate(words) if seen[low]]:
-                    nears.append([words[j] for j in range(max(0, k - WINDOW), min(len(words), k + WINDOW + 1)) if j != k])
-                    rows.append((key, at[k], "word", shown[k], words[k], len(nears) - 1))
+                for k in [k for k, low in enumerate(lows) if seen[low]]:
+                    nears.append([lows[j] for j in range(max(0, k - WINDOW), min(len(lows), k + WINDOW + 1)) if j != k])
+                    words.append((key, at[k], "word", shown[k], lows[k]))
+            if not rows and not words:
+                continue
             sums = _sums(nears, weights)
-            rows = [(*r[:5], None if r[5] is None else sums[r[5]]) for r in rows]
-            yield pd.DataFrame(rows, columns=["key", "line", "kind", "a", "b", "near"])
+            starts = np.concatenate([np.zeros(len(rows), np.int32), np.arange(len(words) + 1, dtype=np.int32) * SIZE])
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, *words), _PLACES.types)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(starts), pa.array(sums.ravel()))], schema=_PLACES)
 
     return run
 
@@ -516,7 +557,7 @@ def scan_noise(reports: DataFrame, key: str = "report_id", text: str = "report_t
     texts = stored(read_texts(texts), "read")
     words = stored(count_words(texts), "words")
     links = stored(link_words(words, texts), "links")
-    places = stored(texts.where("scanned").mapInPandas(_places(_marks(links, "word"), _weights(words)), "key bigint, line int, kind string, a string, b string, near array<double>"), "places")
+    places = stored(texts.where("scanned").select("key", "gone", "kinds", "broken", "left", "right", "at", "cores").mapInArrow(_places(_marks(links, "word"), _weights(words)), "key bigint, line int, kind string, a string, b string, near array<double>"), "places")
 
     fixed = places.where("kind = 'word'").join(links.withColumnRenamed("word", "b"), "b")
     score = _cosine("near", "vector") + F.log10("n_fixed") * 0.5
