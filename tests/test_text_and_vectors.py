@@ -48,8 +48,8 @@ def _vectors(spark, n=400, size=8):
 
 
 def test_top_k_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(vector, "QUERY_BLOCK", 7)
-    monkeypatch.setattr(vector, "BASE_BLOCK", 64)
+    monkeypatch.setattr(vector, "QUERY_BYTES", 7 * 32)
+    monkeypatch.setattr(vector, "BASE_BYTES", 64 * 32)
     data, base = _vectors(spark)
     queries = base.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
     for metric, score in (("ip", lambda q: data @ q), ("l2", lambda q: -((data - q) ** 2).sum(1)), ("cosine", lambda q: data @ q / np.linalg.norm(data, axis=1) / np.linalg.norm(q))):

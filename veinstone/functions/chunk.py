@@ -7,14 +7,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+#: Windows of a stretch.
+STRETCH = 64
 SEPARATORS = ["\n\n", "\n", " ", ""]
 
 
 def windows(text: Column, size: int = 3000, overlap: int = 1000) -> Column:
-    """array<struct<chunk_no, content>> of fixed windows; the last one ends with the text."""
+    """array<struct<chunk_no, content>> of fixed windows; the last one ends with the text.
+
+    A window is cut from a stretch of STRETCH windows and this from the text: finding a place in a text takes time by its distance
+    from the start, so cutting every window from the whole would take the square of the length.
+    """
     step = size - overlap
     count = F.greatest(F.lit(1), F.ceil((F.length(text) - overlap) / step).cast("int"))
-    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("chunk_no"), F.substr(text, i * step + 1, F.lit(size)).alias("content")))
+
+    def stretch(j: Column) -> Column:
+        first = j * STRETCH
+        window = lambda whole: F.transform(F.sequence(F.lit(0), F.least(F.lit(STRETCH), count - first) - 1), lambda i: F.struct((first + i).alias("chunk_no"), F.substr(whole, i * step + 1, F.lit(size)).alias("content")))
+        return F.flatten(F.transform(F.array(F.substr(text, first * step + 1, F.lit(STRETCH * step + overlap))), window))  # an array, to name what is cut out
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.floor((count - 1) / STRETCH).cast("int")), stretch))
 
 
 def split_recursive(text: str, size: int = 3000, overlap: int = 1000, separators: list[str] | None = None) -> list[str]:
