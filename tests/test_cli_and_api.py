@@ -115,3 +115,28 @@ def test_vectors_of_high_dimension_in_blocks(spark, monkeypatch):
     for n, v in rows:
         best = sorted(rows, key=lambda r: (-sum(a * b for a, b in zip(v, r[1])), r[0]))[:3]
         assert [got[n, k + 1] for k in range(3)] == [r[0] for r in best]
+
+
+def test_streams_are_watched_and_stopped(spark):
+    import time
+
+    from veinstone.streaming import pipelines
+
+    batches, ended = [], []
+    listener = api.Progress(batches.append, lambda *end: ended.append(end))
+    spark.streams.addListener(listener)
+    query = spark.readStream.format("rate").option("rowsPerSecond", 50).load().writeStream.format("noop").start()
+    waited = time.time()
+    while not batches and time.time() - waited < 30:
+        time.sleep(0.2)
+    assert pipelines.stop(query, 10) and not query.isActive and batches
+    while not ended and time.time() - waited < 40:
+        time.sleep(0.2)
+    spark.streams.removeListener(listener)
+    assert ended and ended[0][1] is None
+
+
+def test_parsers(spark):
+    df = spark.createDataFrame([("<title>t</title><p>a</p>", "<Entity><EntityName>x")], "page string, xml string")
+    row = df.select(api.PageParser().parse(F.col("page")).alias("p"), api.XmlParser().parse(F.col("xml")).alias("x")).first()
+    assert tuple(row.p) == ("t", "t a") and row.x.Entities[0].EntityName == "x"

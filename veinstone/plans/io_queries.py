@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,17 +9,13 @@ from veinstone.functions import chunk, html
 from veinstone.functions import text as ft
 from veinstone.operators import batches, flatten, graph, ingest, rag, vector
 from veinstone.plans.graph_queries import _entities, _relations
-from veinstone.session import once, prepare, shared_dir, table
+from veinstone.session import once, prepare, scratch, table
 from veinstone.sources import files, sinks
 from veinstone.streaming import pipelines
 
 
 def _root(spark: SparkSession, name: str) -> str:
-    prepare(spark)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
+    return scratch(prepare(spark), name)
 
 
 def _reports(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -167,6 +161,24 @@ def chunk_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.chunks_with_number(rows, ["doc_id", "chunk_no"]).select("doc_id", "chunk_no", F.col("chunk_id").cast("bigint").alias("chunk_id"))
 
 
+def content_addressed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts written once each under the name of their content, those without a title deleted again, and the files that are left."""
+    root = _root(spark, "addressed")
+    rows = _documents(spark, sf_dir, "text", "title").where("text <> ''").withColumn("path", F.concat(F.sha2("text", 256), F.lit(".txt")))
+    kept = rows.groupBy("path").agg(F.first("text").alias("text"), F.max(F.col("title").isNotNull()).alias("titled"))
+    sinks.write_each(kept, root)
+    sinks.remove_each(kept.where("not titled"), root)
+    return files.listing(spark, root).select("file", F.col("size").cast("bigint").alias("size"))
+
+
+def retrieval_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions with all their hits in one prompt, and what the stand-in for a model answers."""
+    rows = _documents(spark, sf_dir, "title", "lang")
+    questions = rows.select(F.col("doc_id").alias("query_id"), F.concat(F.lit("What of "), F.coalesce("lang", F.lit("it")), F.lit("?")).alias("question"))
+    hits = rows.where("title is not null").select(F.col("doc_id").alias("query_id"), F.lit(1).alias("rank"), F.lit("s").alias("source"), F.col("title").alias("content"))
+    return rag.retrieval_answer(questions, hits).select("query_id", F.md5("prompt").alias("prompt_md5"), "answer")
+
+
 def known_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports whose file is in the list of a feed's other reports, and those still to do."""
     rows = _reports(spark, sf_dir, "file_path", "report_year").where("file_path is not null")
@@ -287,7 +299,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         read_report_tree, read_documents, read_json_documents, read_listing, read_xml_files, read_graph_files, read_reply_lines, read_indicator_list, read_name_list, read_report_index,
-        write_graph_routed, write_reports_by_year, merge_reports, flat_tables_written, chunk_numbers, known_files, upload_manifest, merge_union, text_forms, agent_inputs, html_links, html_join,
+        write_graph_routed, write_reports_by_year, merge_reports, flat_tables_written, chunk_numbers, content_addressed_files, retrieval_prompts, known_files, upload_manifest, merge_union, text_forms, agent_inputs, html_links, html_join,
         retrieval_gate, arms_compared, graph_cleared, fixes_by_report, retrieval_metrics, stream_windows,
     )
 }
@@ -316,6 +328,9 @@ ORACLES = {
     "merge_reports": f"WITH {_RPT}, r AS (SELECT * FROM rpt WHERE ingested_at IS NOT NULL AND feed_code IS NOT NULL) SELECT DISTINCT ON (feed_code) feed_code, report_id FROM r ORDER BY feed_code, ingested_at DESC, report_id DESC",
     "chunk_numbers": """WITH d AS (SELECT doc_id, greatest(1, CAST(ceil((length(text) - 1000) / 2000.0) AS BIGINT)) AS n FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, unnest(range(n)) AS chunk_no FROM d)
   SELECT doc_id, chunk_no, row_number() OVER (ORDER BY doc_id, chunk_no) - 1 AS chunk_id FROM c""",
+    "content_addressed_files": "SELECT sha256(text) || '.txt' AS file, CAST(min(strlen(text)) AS BIGINT) AS size FROM documents WHERE text <> '' GROUP BY text HAVING count(title) > 0",
+    "retrieval_prompts": f"""WITH c AS (SELECT doc_id, title, coalesce(lang, 'it') AS lang, CASE WHEN title IS NULL THEN '{rag.NONE}' ELSE '{rag.HEADER.replace(chr(10), "' || chr(10) || '")}' || '[文档1] 来源: s' || chr(10) || '内容: ' || title || chr(10) || chr(10) END AS context FROM documents)
+  SELECT doc_id AS query_id, md5('History:' || chr(10) || chr(10) || chr(10) || 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: What of ' || lang || '?' || chr(10) || 'Answer:') AS prompt_md5, CASE WHEN title IS NULL THEN '{rag.NONE}' ELSE '内容: ' || title END AS answer FROM c""",
     "known_files": f"WITH {_RPT} SELECT report_id, CASE WHEN file_path IN (SELECT file_path FROM rpt WHERE report_year < 2018 AND file_path IS NOT NULL) THEN 'known' ELSE 'to do' END AS state FROM rpt WHERE file_path IS NOT NULL",
     "upload_manifest": "SELECT DISTINCT ON (text) sha256(text) AS hash, doc_id, regexp_replace(strftime(collected_at, '%Y-%m-%dT%H:%M:%S.%f'), '\\.000000$', '') AS uploaded, strftime(collected_at, '%Y%m%d_%H%M%S') AS stamp FROM documents WHERE text IS NOT NULL AND collected_at IS NOT NULL ORDER BY text, collected_at DESC, doc_id DESC",
     "merge_union": f"WITH {_RPT}, u AS (SELECT 'report' AS kind, report_text AS text FROM rpt UNION ALL SELECT 'document', text FROM documents) SELECT kind, count(*) AS rows, CAST(sum(length(text)) AS BIGINT) AS characters FROM u GROUP BY ALL",

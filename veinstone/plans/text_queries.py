@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veinstone.functions import chunk, html
 from veinstone.functions import text as ft
 from veinstone.operators import batches, extraction, ingest, rag, vector
-from veinstone.session import checked_broadcast, once, prepare, shared_dir, stored, table
+from veinstone.session import checked_broadcast, once, prepare, scratch, table
 from veinstone.sources import files
 from veinstone.streaming import pipelines
 
@@ -233,7 +231,7 @@ def knn_cosine_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approximate search in inverted lists, for the same queries."""
     queries, base = _vectors(spark, sf_dir)
-    index, centroids = vector.load_or_build(base, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    index, centroids = vector.load_or_build(base, scratch(spark, "index"))
     return vector.search_lists(queries, index, centroids, 5, vector.fit_probe(base, index, centroids))
 
 
@@ -299,7 +297,7 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents ingested as a stream of files into a chunk table."""
     prepare(spark)
-    root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    root = scratch(spark, "ingest")
     schema = ", ".join(f"{n} {t}" for n, t in spark.read.parquet(f"{sf_dir}/documents.parquet").dtypes)
     query = pipelines.ingest(spark, f"{sf_dir}/documents.parquet*", f"{root}/chunks", f"{root}/state", schema, "doc_id", "text")
     query.awaitTermination()

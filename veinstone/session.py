@@ -72,6 +72,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return read
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder, deleted with all that is put there when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    files, at = _place(spark, path)
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`stored` under a name of no meaning."""
     return stored(df, "cut")

@@ -36,6 +36,24 @@ def write_each(rows: DataFrame, root: str, path: str = "path", text: str = "text
     rows.select(F.col(path).alias("path"), F.col(text).alias("text")).mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
 
 
+def remove_each(rows: DataFrame, root: str, path: str = "path") -> int:
+    """Delete the files root/<path> of a mounted folder, such as downloads that failed their check; how many there were."""
+    base = root.removeprefix("file://")
+    if "://" in base:
+        raise ValueError("files of their own are deleted from mounted folders only")
+
+    import pandas as pd
+
+    def remove(batches):
+        for batch in batches:
+            there = [p for name in batch["path"] if (p := Path(base, name)).is_file()]
+            for p in there:
+                p.unlink(missing_ok=True)
+            yield pd.DataFrame({"n": [len(there)]})
+
+    return rows.select(F.col(path).alias("path")).mapInPandas(remove, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def write_lines(lines: DataFrame, path: str, column: str = "value") -> None:
     """One JSON line per row."""
     lines.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
