@@ -45,7 +45,7 @@ AGREEMENT = 0.2
 LIFT = 8
 #: Values of the hash that marks the words in links (a constant, whatever the corpus).
 MARKS = 1 << 20
-#: Words worked on at a time, and words whose sums a task holds before it gives them on.
+#: Pairs of words worked on at a time, and words whose sums a task holds before it gives them on.
 AT_ONCE, HELD = 500_000, 50_000
 #: Cells of a matrix of counts of neighbours.
 DENSE = 20_000_000
@@ -306,16 +306,15 @@ def _split(cores: str) -> list[str]:
 
 
 def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
-    """(different words, their numbers in order of the texts, number of the text of each) of lots of whole texts, of about AT_ONCE
-    words."""
+    """(different words, their numbers in order of the texts, number of the text of each) of lots of whole texts, of about half of
+    CHARACTERS."""
     for batch in batches:
-        texts = pc.split_pattern(pc.utf8_lower(batch.column(0)), " ")
-        ends = np.cumsum(pc.list_value_length(texts).to_numpy(zero_copy_only=False))
+        ends = np.cumsum(pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
-        while start < len(texts):
-            until = ends[start - 1] + AT_ONCE if start else AT_ONCE
+        while start < len(ends):
+            until = CHARACTERS // 2 + (ends[start - 1] if start else 0)
             stop = max(start + 1, int(np.searchsorted(ends, until, "right")))
-            lot = texts.slice(start, stop - start)
+            lot = pc.split_pattern(pc.utf8_lower(batch.column(0).slice(start, stop - start)), " ")
             words = lot.flatten().dictionary_encode()
             yield words.dictionary.to_pylist(), words.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(lot)), pc.list_value_length(lot).to_numpy(zero_copy_only=False))
             start = stop
