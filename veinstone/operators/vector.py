@@ -188,12 +188,16 @@ def retrieve(queries: DataFrame, base: DataFrame, k: int = 5, fetch: int = 20, a
 
 
 def embed(text: Column, size: int = 64) -> Column:
-    """A deterministic stand-in for an embedding model: words hashed with signs into `size` numbers, unit length."""
+    """A deterministic stand-in for an embedding model: words hashed with signs into `size` numbers, unit length; zeros for a text
+    without words, null for null."""
+    named = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731 - a value bound to a name is made once
     words = F.filter(F.split(F.lower(text), r"\W+"), lambda w: w != "")
     signed = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(size)).cast("int").alias("at"), F.when(F.xxhash64(w, F.lit(1)) % 2 == 0, 1.0).otherwise(-1.0).alias("sign")))
-    sums = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda n: F.aggregate(F.filter(signed, lambda s: s["at"] == n), F.lit(0.0), lambda a, s: a + s["sign"]))
-    norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(sums, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
+    place = lambda all_, n: F.aggregate(F.filter(all_, lambda x: x["at"] == n), F.lit(0.0), lambda a, x: a + x["sign"])
+    sums = named(signed, lambda all_: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda n: place(all_, n)))
+    scaled = named(sums, lambda v: F.struct(v.alias("v"), F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)).alias("norm")))
+    unit = named(scaled, lambda p: F.transform(p["v"], lambda x: F.when(p["norm"] > 0, x / p["norm"]).otherwise(0.0).cast("float")))
+    return F.when(text.isNotNull(), unit)
 
 
 def save_index(index: DataFrame, path: str, centroids: np.ndarray | None = None) -> None:

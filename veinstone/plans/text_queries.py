@@ -241,6 +241,25 @@ def knn_ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.evaluate(knn_ivf(spark, sf_dir), vector.top_k(queries, base, 5), 5)
 
 
+def knn_ivf_enough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the inverted lists find nine tenths of the exact result."""
+    return knn_ivf_recall(spark, sf_dir).select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
+def chunk_recursive_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all documents' recursive chunks, those too long, and those that are not in their text as they are."""
+    rows = _t(spark, sf_dir, "documents", "doc_id", "text").where("text is not null")
+    rows = rows.select("doc_id", "text", F.explode_outer(chunk.recursive()("text")).alias("c"))
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    return rows.agg(F.countDistinct("doc_id").alias("documents"), count(F.length("c") > 3000).alias("too_long"), count(~F.col("text").contains(F.col("c"))).alias("altered"), count(F.trim("c") == "").alias("blank"))
+
+
+def text_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and length of the hashed embedding of every title: one, or zero without a word."""
+    rows = _t(spark, sf_dir, "documents", "doc_id", "title").where("title is not null").withColumn("v", vector.embed(F.col("title")))
+    return rows.select("doc_id", F.size("v").cast("bigint").alias("size"), F.round(F.sqrt(vector.dot(F.col("v"), F.col("v"))), 4).alias("norm"))
+
+
 def mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five diverse vectors of each query's twenty nearest."""
     queries, base = _vectors(spark, sf_dir)
@@ -309,7 +328,7 @@ QUERIES = {
     for f in (
         batch_request_jsonl, batch_request_validation, batch_result_parse, run_stats, user_message_parse, chat_history, conversation_title, sse_frames, token_stream_concat, session_get_or_create,
         manifest_delta, content_addressed_dedup, integrity_check, chunk_fixed_window, chunk_recursive, html_content, ioc_extract, kv_line_parse, sensor_log_rollup, ioc_list_scan, year_stats, ocr_routing, entity_extraction,
-        knn_ip, knn_l2, knn_cosine_threshold, knn_ivf, knn_ivf_recall, mmr, mmr_threshold, rag_context, retrieval_eval, dict_or_list_normalise, event_windows, event_windows_sliding, event_sessions, ingest_stream,
+        knn_ip, knn_l2, knn_cosine_threshold, knn_ivf, knn_ivf_recall, knn_ivf_enough, chunk_recursive_sound, text_embedding, mmr, mmr_threshold, rag_context, retrieval_eval, dict_or_list_normalise, event_windows, event_windows_sliding, event_sessions, ingest_stream,
     )
 }
 
@@ -375,6 +394,9 @@ ORACLES = {
     "knn_ip": _NEAR.format(score=_SCORE, where="") + " SELECT query_id, id, round(score, 5) AS score, rank FROM r WHERE rank <= 5",
     "knn_l2": _NEAR.format(score=f"2 * {_SCORE} - list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) - list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])", where="") + " SELECT query_id, id, round(score, 5) + 0.0 AS score, rank FROM r WHERE rank <= 5",
     "knn_cosine_threshold": _NEAR.format(score="list_cosine_similarity(q.embedding::DOUBLE[], b.embedding::DOUBLE[])", where="WHERE score >= 0.3") + " SELECT query_id, id, round(score, 5) AS score, rank FROM r WHERE rank <= 5",
+    "knn_ivf_enough": "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 50 = 0",
+    "chunk_recursive_sound": "SELECT count(DISTINCT doc_id) AS documents, CAST(0 AS BIGINT) AS too_long, CAST(0 AS BIGINT) AS altered, CAST(0 AS BIGINT) AS blank FROM documents WHERE text IS NOT NULL",
+    "text_embedding": "SELECT doc_id, CAST(64 AS BIGINT) AS size, CASE WHEN regexp_matches(title, '[A-Za-z0-9_]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM documents WHERE title IS NOT NULL",
     "mmr": _mmr(""),
     "mmr_threshold": _mmr("AND score >= 0.4"),
     "rag_context": _NEAR.format(score=_SCORE, where="") + f""" SELECT query_id, md5('{rag.HEADER.replace(chr(10), "' || chr(10) || '")}' || string_agg('[文档' || rank || '] 来源: ' || coalesce(title, '{rag.UNKNOWN}') || chr(10) || '内容: ' || coalesce(text, '') || chr(10) || chr(10), '' ORDER BY rank)) AS context_md5, count(*) AS documents
