@@ -178,6 +178,11 @@ def test_two_edits_and_given_names_by_the_corpus(spark):
     assert [c for c in got if len(c) > 1] == [["Ann Kovalenka", "Ann Kovalenko", "Ann Kovolenke"], ["Rcihard Tolmeru", "Rick Tolmeru"], ["Xaveir Zopibova", "Xavier Zopibova"]]
 
 
+def test_names_in_other_scripts(spark):
+    got = _classes(spark, ["王小明", "王 小明", "李雷", "Иванов Пётр", "иванов петр", "Сидоров Олег", "…", "José Núñez", "Jose Nunez"])
+    assert [c for c in got if len(c) > 1] == [["Jose Nunez", "José Núñez"], ["Иванов Пётр", "иванов петр"], ["王 小明", "王小明"]] and len(got) == 6
+
+
 def test_hot_segment_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(names, "BLOCK_ROWS", 5)
     keys = [f"kelmud{a}{b}" for a in "abcdefg" for b in "hijklm"] + ["kelmudah"]

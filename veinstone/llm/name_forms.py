@@ -174,6 +174,9 @@ def parse(name: str | None, sub_type: str) -> Parsed | None:
     """What a name says; None for names that say nothing by themselves: null, blank, codes and acronyms."""
     if not name or not name.strip():
         return None
+    if not re.search(r"[a-zA-Z0-9]", plain(name)):  # another script: all its letters, of which no part is told from another
+        letters = "".join(ch for ch in plain(name).lower() if ch.isalnum())
+        return Parsed(letters) if letters else None
     if sub_type == "org":
         if _CODE.fullmatch(name.strip()):
             return None
