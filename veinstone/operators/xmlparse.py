@@ -58,22 +58,32 @@ def rooted(text: Column) -> Column:
     return F.when(whole.rlike(r"(?s)^<Root>.*</Root>\s*$"), whole).otherwise(F.concat(F.lit("<Root>"), whole, F.lit("</Root>")))
 
 
-def _read(text: Column, item: str) -> tuple[Column, Column]:
-    """(items, broken): all items of one kind, those in sections first."""
-    raw = F.from_xml(text, SCHEMA, _OPTIONS)
+def _named(value: Column, f) -> Column:
+    """f of a value that is bound to a name, so that it is made once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _whole(raw: Column) -> Column:
+    return F.coalesce(raw.isNotNull() & raw["_corrupt_record"].isNull(), F.lit(False))
+
+
+def _items(raw: Column, item: str) -> Column:
+    """All items of one kind of what was parsed, those in sections first; null if there is neither section nor item."""
     empty = F.array().cast(_ITEMS[item])
     inside = F.flatten(F.transform(raw[_SECTIONS[item]], lambda s: F.coalesce(s[item], empty)))
     either = raw[_SECTIONS[item]].isNotNull() | raw[item].isNotNull()
-    broken = F.coalesce(raw["_corrupt_record"].isNotNull() | raw.isNull(), F.lit(True))
-    return F.when(either, F.concat(F.coalesce(inside, empty), F.coalesce(raw[item], empty))), broken
+    return F.when(either, F.concat(F.coalesce(inside, empty), F.coalesce(raw[item], empty)))
 
 
 def parse_xml(text: Column) -> Column:
     """struct<Entities, Relationships, error>: the text is parsed as a whole; if it is broken, each section by itself, so that a
     damaged one takes nothing from the other. Wrapper elements come first, direct children serve where the wrapper is absent; of
     repeated property names the last holds; a null property value is an empty string; error means that nothing could be read."""
-    whole = rooted(text)
+    read = lambda x: F.from_xml(x, SCHEMA, _OPTIONS)
     section = lambda s: F.concat(F.lit("<Root>"), F.regexp_extract(text, rf"(?s)<{s}>.*?</{s}>", 0), F.lit("</Root>"))
+    alone = lambda item: _named(read(section(_SECTIONS[item])), lambda raw: F.when(_whole(raw), _items(raw, item)))
+    parts = lambda entities, relations, whole: F.struct(entities.alias("e"), relations.alias("r"), F.lit(whole).alias("whole"))
+    found = _named(read(rooted(text)), lambda raw: F.when(_whole(raw), parts(_items(raw, "Entity"), _items(raw, "Relationship"), True)).otherwise(parts(alone("Entity"), alone("Relationship"), False)))
     blank = lambda c: F.nullif(c, F.lit(""))
 
     def entity(e: Column) -> Column:
@@ -86,13 +96,8 @@ def parse_xml(text: Column) -> Column:
         )
 
     relation = lambda r: F.struct(*[blank(r[c]).alias(c) for c in ("RelationshipId", "RelationshipType", "Source", "Target")])
-    found = {}
-    for item, shape in (("Entity", entity), ("Relationship", relation)):
-        items, broken = _read(whole, item)
-        alone, alone_broken = _read(section(_SECTIONS[item]), item)
-        found[item] = F.transform(F.when(~broken, items).otherwise(F.when(~alone_broken, alone)), shape)
-    error = _read(whole, "Entity")[1] & found["Entity"].isNull() & found["Relationship"].isNull()
-    return F.struct(found["Entity"].alias("Entities"), found["Relationship"].alias("Relationships"), F.coalesce(error, F.lit(True)).alias("error"))
+    error = lambda p: ~p["whole"] & p["e"].isNull() & p["r"].isNull()
+    return _named(found, lambda p: F.struct(F.transform(p["e"], entity).alias("Entities"), F.transform(p["r"], relation).alias("Relationships"), F.coalesce(error(p), F.lit(True)).alias("error")))
 
 
 def status_of(graph: Column) -> Column:
