@@ -79,6 +79,11 @@ def parse_xml(text: Column) -> Column:
     """struct<Entities, Relationships, error>: the text is parsed as a whole; if it is broken, each section by itself, so that a
     damaged one takes nothing from the other. Wrapper elements come first, direct children serve where the wrapper is absent; of
     repeated property names the last holds; a null property value is an empty string; error means that nothing could be read."""
+    return _named(text, _parsed)  # the text, too, so that none of what it is made of is asked for inside
+
+
+def _parsed(text: Column) -> Column:
+    """What `parse_xml` gives for a text that has a name."""
     read = lambda x: F.from_xml(x, SCHEMA, _OPTIONS)
     section = lambda s: F.concat(F.lit("<Root>"), F.regexp_extract(text, rf"(?s)<{s}>.*?</{s}>", 0), F.lit("</Root>"))
     alone = lambda item: _named(read(section(_SECTIONS[item])), lambda raw: F.when(_whole(raw), _items(raw, item)))
