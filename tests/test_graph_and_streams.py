@@ -2,10 +2,12 @@
 
 import time
 
+import duckdb
 from pyspark.sql import functions as F
 
 from veinstone import vocab
 from veinstone.operators import constraints, graph
+from veinstone.plans import graph_queries
 from veinstone.streaming import pipelines
 
 ENTITIES = [
@@ -44,6 +46,21 @@ def test_graph(spark):
     assert graph.clear_graph(nodes, edges)[0].count() == nodes.count() and graph.clear_graph(nodes, edges, True)[0].count() == 0
 
 
+def test_lists_of_nodes_against_sql(spark, tmp_path):
+    """Lists that are null, empty, of nulls only and of both, in each list column; null and empty text are told apart."""
+    lists = [None, [], [None], [None, None], [""], ["", None], [None, "a"], ["a", None, "b"]]
+    rows = [(n, 1, f"e{n}", f"name {n}", x, "tool", None, x, x, {"k": None, "q": "é\n"}) for n, x in enumerate(lists)]
+    rows.append((99, 1, "late", "name 6", [None], "TOOL", "sub", None, [None], None))
+    schema = "mention_id long, report_id long, entity_id string, entity_name string, entity_variant_names array<string>, entity_type string, entity_sub_type string, entity_labels array<string>, entity_times array<string>, entity_properties map<string,string>"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "entities.parquet"))
+    got = graph_queries.graph_nodes_upsert(spark, str(tmp_path))
+    duck = duckdb.connect()
+    duck.execute(f"create view entities as select * from '{tmp_path}/entities.parquet/*.parquet'")
+    want = duck.execute(f"select {', '.join(got.columns)} from ({graph_queries.ORACLES['graph_nodes_upsert']})").fetchall()
+    by = lambda rows: sorted(map(tuple, rows), key=lambda r: r[:2])
+    assert by(got.collect()) == by(want)
+
+
 def test_stream_ingest_is_exactly_once(spark, tmp_path):
     source, target, state = str(tmp_path / "s"), str(tmp_path / "t"), str(tmp_path / "c")
     schema = "doc_id long, text string"

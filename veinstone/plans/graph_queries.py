@@ -50,9 +50,10 @@ def relation_cycle_next(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_nodes_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes merged on label and name, each property the last one given."""
+    """Nodes merged on label and name, each property the last one given; a list of nulls only reads as null, an empty one as empty."""
     nodes = graph.merge_nodes(_entities(spark, sf_dir))
-    return nodes.select("label", "name", "id", "subtype", F.array_join("labels", ",").alias("labels"), F.array_join("variant_names", ",").alias("variant_names"), F.array_join("times", ",").alias("times"), "properties")
+    text = lambda c: F.when((F.size(c) == 0) | F.exists(c, lambda x: x.isNotNull()), F.array_join(c, ",")).alias(c)
+    return nodes.select("label", "name", "id", "subtype", text("labels"), text("variant_names"), text("times"), "properties")
 
 
 def _nodes(entities: DataFrame, relations: DataFrame) -> DataFrame:
