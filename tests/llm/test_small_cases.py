@@ -183,6 +183,22 @@ def test_names_in_other_scripts(spark):
     assert [c for c in got if len(c) > 1] == [["Jose Nunez", "José Núñez"], ["Иванов Пётр", "иванов петр"], ["王 小明", "王小明"]] and len(got) == 6
 
 
+def test_near_keys_gather_no_exploded_rows(spark):
+    """However few the keys, their probes, some sixty a key, don't pass through the driver."""
+    df = spark.createDataFrame([("user", "x", k) for k in ("tombarova", "tombarovo", "kelmudin")], "sub string, block string, key string")
+    near = names.near_keys(df)
+    assert [(r.key_a, r.key_b) for r in near.collect()] == [("tombarova", "tombarovo")]
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_do_not_plan_the_classes_again(spark):
+    rows = [(1, "Jon Tombarova", ["John Tombarova"], "user"), (2, "John Tombarova", None, "user"), (3, None, None, "org")]
+    df = spark.createDataFrame(rows, "mention_id long, entity_name string, entity_variant_names array<string>, entity_sub_type string")
+    pairs_ = names.same_pairs(names.link_names(df))
+    assert [tuple(r) for r in pairs_.collect()] == [(1, 2)]
+    assert pairs_._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 3  # sizes to members on either side, and the pairs
+
+
 def test_hot_segment_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(names, "BLOCK_ROWS", 5)
     keys = [f"kelmud{a}{b}" for a in "abcdefg" for b in "hijklm"] + ["kelmudah"]
